@@ -5,17 +5,76 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomtext.llm import bpe, chat, decontaminate, langid, licenses, minhash, quality, secrets, sharding, urlfilter
 from loomtext.llm.common import table
-from loomtext.llm.minhash import near_duplicates
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select * from values (-1L, 0L, 'user', '{control}'), (-1L, 1L, 'assistant', '{control}') as t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").union(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    dealt = sharding.shuffle_into_shards(rows, shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    texts = langid.sample(docs.filter(~held))
+    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), texts, ("doc_id", "held_out"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, bands=48, rows=8)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, bands=48, rows=8)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch day and come without lists; both follow from ids and hosts by fixed rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int")))
+    digit = lambda at: F.conv(F.substring(F.md5("key"), at, 4), 16, 10).cast("long")
+    hosts = captures.select(F.explode(urlfilter.keys(F.col("url"))).alias("key")).filter("length(key) > 0").distinct()
+    drawn = hosts.select("key", digit(1).alias("a"), digit(5).alias("b"), digit(9).alias("c"), digit(13).alias("d"))
+    day = lambda n: F.date_add(F.lit("2022-07-01").cast("date"), n.cast("int"))
+    event = lambda name, verdict, pick, at, action: drawn.filter(pick).select(F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), "key", day(at).alias("day"), F.lit(action).alias("action"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    spam, trusted = a % 4 == 0, d % 5 == 0
+    events = event("spam", "deny", spam, b % 600, "add").union(event("spam", "deny", spam & (c % 3 != 0), b % 600 + c % 200, "remove")).union(event("spam", "deny", spam & (c % 9 == 1), b % 600 + c % 200 + 30, "add")).union(event("trusted", "allow", trusted, c % 500, "add")).union(event("trusted", "allow", trusted & (a % 2 == 0), c % 500 + b % 300, "remove"))
+    return urlfilter.filter_captures(captures, events)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_secret_scan, op4_language_id, op5_bpe, op6_minhash_near_dedup, op7_decontaminate, op8_url_filter, op9_quality_rules, op10_license_scan)}
 
 ORACLES: dict[str, str] = {}
