@@ -66,11 +66,11 @@ class Automaton:
                     link[q] = link[cur] = clone
             last = cur
         assert len(step) <= size + 1
-        table = np.full((len(step), symbols), -1, np.int32)
+        table = np.full((len(step) + 1, symbols), -1, np.int32)  # the last state: after an unknown symbol
         for state, out in enumerate(step):
             for s, to in out.items():
                 table[state, s] = to * symbols
-        opens = np.where(table[0] >= 0, table[0], 0) + _NEW  # a new phrase; an unknown symbol is one of its own
+        opens = np.where(table[0] >= 0, table[0], len(step) * symbols) + _NEW  # an unknown symbol is a phrase of its own
         self.table = np.where(table >= 0, table, opens[None, :]).astype(np.int32).ravel()
         self.symbols = symbols
 
