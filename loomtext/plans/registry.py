@@ -1,6 +1,268 @@
-"""Named queries over the driver's tables and the SQL that must give the same rows."""
+"""Named queries over the driver's tables and the SQL that must give the same rows.
+
+``documents`` stand for files in two ways: each row is a file, or all rows of a
+source, by doc_id, are one (their lines joined by newlines).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import io
+import zipfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtext.functions import markup
+from loomtext.functions import text as T
+from loomtext.functions.jsontext import json_leaves
+from loomtext.operators import chat, split
+from loomtext.operators.lines import explode_lines, join_files, line_statistics
+from loomtext.sources import epub
+
+DELIMITERS = ["Licensed under", "Released under", "###"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_lines(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
+
+
+def _source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_files(_table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("seq"), F.col("text").alias("content")))
+
+
+def _rolled(parts: DataFrame) -> DataFrame:
+    return split.roll_up(parts).select("file", "part_no", "n_lines", "n_words", "n_bytes", F.md5("content").alias("content_md5"))
+
+
+def split_lines(spark, sf_dir):
+    return _rolled(split.by_lines(_doc_lines(spark, sf_dir), 5))
+
+
+def split_parts(spark, sf_dir):
+    return _rolled(split.by_parts(_doc_lines(spark, sf_dir), 4))
+
+
+def split_bytes(spark, sf_dir):
+    return _rolled(split.by_bytes(_source_lines(spark, sf_dir), 8192))
+
+
+def split_words(spark, sf_dir):
+    return _rolled(split.by_words(_source_lines(spark, sf_dir), 2000))
+
+
+def split_delimiter(spark, sf_dir):
+    return _rolled(split.by_delimiter(_source_lines(spark, sf_dir), DELIMITERS))
+
+
+def split_words_delimited(spark, sf_dir):
+    return _rolled(split.by_words_at_delimiters(_source_lines(spark, sf_dir), 1500, DELIMITERS))
+
+
+def line_stats(spark, sf_dir):
+    rows = line_statistics(_doc_lines(spark, sf_dir))
+    return rows.groupBy("file").agg(F.count("*").alias("n_lines"), F.sum("n_words").alias("n_words"), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("blank").cast("long")).alias("n_blank"), F.max("n_words").alias("longest"))
+
+
+def section_marks(spark, sf_dir):
+    rows = split.mark_sections(_source_lines(spark, sf_dir), DELIMITERS).filter(T.contains_any("line", DELIMITERS))
+    return rows.select("file", "line_no", "starts")
+
+
+def html_to_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", markup.html_to_text("html").alias("text"))
+
+
+def _conversation_json(spark, sf_dir):
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("id"), "turns")).alias("document"))
+
+
+def json_leaves_query(spark, sf_dir):
+    return _conversation_json(spark, sf_dir).select("conv_id", F.posexplode(json_leaves("document")).alias("pos", "leaf")).select("conv_id", F.col("pos").cast("long").alias("pos"), "leaf")
+
+
+def json_text(spark, sf_dir):
+    return _conversation_json(spark, sf_dir).select("conv_id", F.array_join(json_leaves("document"), "\n").alias("content"))
+
+
+def _messages(spark, sf_dir):
+    """All turns of the table as one export of one file."""
+    t = _table(spark, sf_dir, "conversations")
+    sizes = t.groupBy("conv_id").agg(F.count("*").alias("n"))
+    from pyspark.sql.window import Window
+
+    starts = sizes.select("conv_id", F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = t.withColumn("at", at).join(starts, "conv_id")
+    return rows.select(F.lit("export").alias("file"), (F.col("start") + F.col("at")).cast("long").alias("line_no"), F.lit(None).cast("string").alias("date"), F.col("role").alias("sender"), "text")
+
+
+def chat_transcript(spark, sf_dir):
+    return chat.transcript(_messages(spark, sf_dir)).select("line_no", "entry")
+
+
+def chat_parts(spark, sf_dir):
+    parts = chat.cut_by_words(_messages(spark, sf_dir), 500)
+    return parts.groupBy("part_no").agg(F.count("*").alias("n_messages"), F.sum(T.count_words("text")).alias("n_words"), F.min("line_no").alias("first_message"))
+
+
+def chat_parts_tiny(spark, sf_dir):
+    """A first message above the limit leaves part 1 empty, so numbers start at 2."""
+    parts = chat.cut_by_words(_messages(spark, sf_dir), 3)
+    return parts.groupBy("part_no").agg(F.count("*").alias("n_messages"), F.min("line_no").alias("first_message"))
+
+
+def chat_messages(spark, sf_dir):
+    """Messages read back from pages made of the turns, one page a conversation."""
+    e = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    block = F.concat(F.lit('<div class="message default clearfix"><div class="body"><div class="pull_right date details" title="t'), F.col("turn").cast("string"), F.lit('">x</div><div class="from_name"> '), e(F.col("role")), F.lit(' </div><div class="text">'), e(F.col("text")), F.lit("</div></div></div>"))
+    pages = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n").alias("content"))
+    return chat.extract_messages(pages, ("conv_id",))
+
+
+def chat_file_order(spark, sf_dir):
+    names = spark.sql("select explode(array('messages10.html', 'messages2.html', 'messages.html', 'messages_x.html', 'messages007.html', 'old_messages3.html.html')) as name")
+    return names.select("name", T.chat_file_number("name").alias("file_no"))
+
+
+def part_names(spark, sf_dir):
+    names = spark.sql("select explode(array('a.txt', 'b.tar.gz', '.profile', 'none', 'x.', '..y.md')) as name")
+    return names.select("name", T.part_name("name", F.lit(7)).alias("part"), T.text_name("name").alias("text"))
+
+
+def text_functions(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    padded = F.concat(F.lit(" \t"), "text", F.lit(" \n"))
+    return d.select("doc_id", F.md5(T.collapse(padded)).alias("collapsed"), F.md5(T.clean(padded)).alias("cleaned"), F.md5(T.drop_blank_lines(padded)).alias("kept_lines"), T.count_words(padded).alias("n_words"), F.size(T.split_lines(F.concat("text", F.lit("\r\nx\ry")))).cast("long").alias("n_lines"))
+
+
+def _epub(page_id: int, html: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>')
+        items = '<item id="p" href="p.xhtml" media-type="application/xhtml+xml"/><item id="n" href="note.txt" media-type="text/plain"/><item id="g" href="g.png" media-type="image/png"/><item id="m" href="gone.xhtml"/>'
+        refs = '<itemref idref="p"/><itemref idref="g"/><itemref idref="m"/><itemref idref="n"/><itemref idref="n" linear="no"/>'
+        z.writestr("OEBPS/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine>{refs}</spine></package>')
+        z.writestr("OEBPS/p.xhtml", html)
+        z.writestr("OEBPS/note.txt", f" note {page_id} \n")
+    return out.getvalue()
+
+
+def epub_text(spark, sf_dir):
+    """Books made of one page and a note each."""
+    pack = F.udf(_epub, "binary")
+    books = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), pack("page_id", "html").alias("content"))
+    return epub.to_documents(books)
+
+
+def spine_join(spark, sf_dir):
+    manifest = spark.sql("select * from values ('b', 0, 'a', 'a.xhtml', 'application/XHTML+xml'), ('b', 1, 'c', 'c.svg', 'image/svg+xml'), ('b', 2, 'd', 'd.png', 'image/png'), ('b', 3, 'a', 'a2.xhtml', 'text/html'), ('b', 4, '', 'e.html', 'text/html'), ('b', 5, 'f', '', 'text/html'), ('b', 6, 'h', 'h', ''), ('k', 0, 'a', 'k.html', 'text/html') as m(file, pos, id, href, media_type)")
+    spine = spark.sql("select * from values ('b', 0, 'c', cast(null as string)), ('b', 1, 'a', 'yes'), ('b', 2, 'a', 'NO'), ('b', 3, 'd', 'yes'), ('b', 4, 'zz', 'yes'), ('b', 5, '', 'yes'), ('b', 6, 'h', 'maybe'), ('b', 7, 'a', 'yes'), ('k', 0, 'a', 'yes') as s(file, pos, idref, linear)")
+    return epub.spine_join(spine, manifest)
+
+
+def member_path(spark, sf_dir):
+    rows = spark.sql("select * from values ('OEBPS/c.opf', '../t/a.xhtml'), ('c.opf', './a.xhtml'), ('OEBPS/c.opf', '/x/y'), ('OEBPS/c.opf', 'a%20b.xhtml'), ('a/b/c.opf', 'd//e#f') as t(package, href)")
+    return rows.select("package", "href", markup.normalise_member("package", "href").alias("member"))
+
+
+def sniff_encoding(spark, sf_dir):
+    rows = spark.sql("""select * from values (1, cast('<?xml version="1.0" encoding="ISO-8859-1"?>' as binary)), (2, X'EFBBBF78'), (3, cast('<meta charset="x">' as binary)), (4, cast("<?xml ENCODING='utf-16'?>" as binary)), (5, X'') as t(id, payload)""")
+    return rows.select("id", markup.sniff_encoding("payload").alias("encoding"), F.length(markup.decode_bytes("payload")).alias("n_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__.removesuffix("_query"): f
+    for f in (
+        split_lines, split_parts, split_bytes, split_words, split_delimiter, split_words_delimited, line_stats, section_marks,
+        html_to_text, json_leaves_query, json_text, chat_transcript, chat_parts, chat_parts_tiny, chat_messages, chat_file_order,
+        part_names, text_functions, epub_text, spine_join, member_path, sniff_encoding,
+    )
+}
+
+# -- SQL for DuckDB ------------------------------------------------------------
+
+_DOC_LINES = """doc_parts AS (
+  SELECT doc_id AS file, string_split(text, chr(10)) AS ls FROM documents),
+doc_rows AS (SELECT file, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS line_no, len(ls) AS n FROM doc_parts),
+lines AS (SELECT file, line_no, CASE WHEN line_no < n - 1 THEN s || chr(10) ELSE s END AS line FROM doc_rows WHERE line_no < n - 1 OR s <> '')"""
+_SOURCE_LINES = """doc_parts AS (
+  SELECT source AS file, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+doc_rows AS (SELECT file, doc_id, unnest(ls) || chr(10) AS line, generate_subscripts(ls, 1) AS k FROM doc_parts),
+lines AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY doc_id, k) - 1 AS line_no, line FROM doc_rows)"""
+_WORDS = "len(list_filter(string_split_regex({0}, '[ \\n\\t\\r]+'), lambda x: x <> ''))"
+_WEIGHTED = f"weighted AS MATERIALIZED (SELECT file, line_no, line, {_WORDS.format('line')} AS words, strlen(line) AS bytes FROM lines)"
+_ROLL = f"""SELECT file, CAST(part_no AS BIGINT) AS part_no, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum({_WORDS.format('line')}) AS BIGINT) AS n_words,
+  CAST(sum(strlen(line)) AS BIGINT) AS n_bytes, md5(string_agg(line, '' ORDER BY line_no)) AS content_md5 FROM parts GROUP BY ALL"""
+_HITS = "(" + " OR ".join(f"contains(line, '{d}')" for d in DELIMITERS) + ")"
+_SECTIONS = f"""hits AS (SELECT *, {_HITS} AS hit, {_WORDS.format('line')} = 0 AS blank FROM lines),
+marked AS (SELECT *, hit AND NOT coalesce(last_value(CASE WHEN NOT blank THEN hit END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS starts FROM hits)"""
+
+
+def _fold_sql(weight: str, cut: str, rows: str = "weighted") -> str:
+    """A recursive walk along each file; ``cut`` sees the row as r and the state as s."""
+    return f"""walk AS (
+  SELECT file, line_no, line, CAST(1 AS BIGINT) AS part_no, CAST({weight.format('')} AS BIGINT) AS acc FROM {rows} WHERE line_no = 0
+  UNION ALL
+  SELECT r.file, r.line_no, r.line, s.part_no + CASE WHEN {cut} THEN 1 ELSE 0 END, CASE WHEN {cut} THEN 0 ELSE s.acc END + {weight.format('r.')}
+  FROM walk s JOIN {rows} r ON r.file = s.file AND r.line_no = s.line_no + 1),
+parts AS (SELECT * FROM walk)"""
+
+
+_MESSAGES = f"""weighted AS MATERIALIZED (SELECT 'export' AS file, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, text AS line, {_WORDS.format('text')} AS words FROM conversations)"""
+
+
+def _chat_sql(limit: int) -> str:
+    first = f"CASE WHEN words > {limit} THEN 2 ELSE 1 END"
+    walk = _fold_sql("{0}words", f"s.acc + r.words > {limit}").replace("CAST(1 AS BIGINT) AS part_no", f"CAST({first} AS BIGINT) AS part_no")
+    return f"WITH RECURSIVE {_MESSAGES}, {walk}"
+
+
+_SPLIT_AT = "|".join(markup.BLOCKS)
+_PAGE_TEXT = f"""page_texts AS (
+  SELECT page_id, list_filter(list_transform(string_split(
+    replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      html, '<!--.*?-->|<![^>]*>', ' ', 'gs'),
+      '<script>([^<]*)<([^<]*)</script>', ' \\1' || chr(2) || '\\2 ', 'g'),
+      '\\s+', ' ', 'g'),
+      '<(br|hr)( [^>]*)?/?>|</({_SPLIT_AT}) *>', chr(1), 'g'),
+      '<[^>]*>', ' ', 'g'),
+      chr(2), '<'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1)),
+    lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS ls FROM pages)"""
+
+ORACLES: dict[str, str] = {
+    "split_lines": f"WITH {_DOC_LINES}, parts AS (SELECT *, line_no // 5 + 1 AS part_no FROM lines) {_ROLL}",
+    "split_parts": f"WITH {_DOC_LINES}, parts AS (SELECT *, line_no // ((count(*) OVER (PARTITION BY file) + 3) // 4) + 1 AS part_no FROM lines) {_ROLL}",
+    "split_bytes": f"WITH RECURSIVE {_SOURCE_LINES}, {_WEIGHTED}, {_fold_sql('{0}bytes', 's.acc + r.bytes > 8192')} {_ROLL}",
+    "split_words": f"WITH RECURSIVE {_SOURCE_LINES}, {_WEIGHTED}, {_fold_sql('{0}words', 's.acc + r.words > 2000')} {_ROLL}",
+    "split_delimiter": f"""WITH {_SOURCE_LINES}, {_SECTIONS},
+counted AS (SELECT *, sum(starts::INT) OVER (PARTITION BY file ORDER BY line_no) AS s, bool_or(starts) OVER (PARTITION BY file) AS cut, first_value(starts) OVER (PARTITION BY file ORDER BY line_no) AS head FROM marked),
+parts AS (SELECT file, line_no, line, CASE WHEN NOT cut THEN 1 WHEN head THEN s WHEN s = 0 THEN 0 ELSE s + 1 END AS part_no FROM counted) {_ROLL}""",
+    "split_words_delimited": f"""WITH RECURSIVE {_SOURCE_LINES}, {_SECTIONS},
+flagged AS MATERIALIZED (SELECT file, line_no, line, starts, {_WORDS.format('line')} AS words FROM marked), {_fold_sql('{0}words', 's.acc >= 1500 AND r.starts', 'flagged')} {_ROLL}""",
+    "line_stats": f"""WITH {_DOC_LINES} SELECT file, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum({_WORDS.format('line')}) AS BIGINT) AS n_words, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes,
+CAST(sum(({_WORDS.format('line')} = 0)::INT) AS BIGINT) AS n_blank, CAST(max({_WORDS.format('line')}) AS BIGINT) AS longest FROM lines GROUP BY file""",
+    "section_marks": f"WITH {_SOURCE_LINES}, {_SECTIONS} SELECT file, line_no, starts FROM marked WHERE hit",
+    "html_to_text": f"WITH {_PAGE_TEXT} SELECT page_id, array_to_string(ls, chr(10)) AS text FROM page_texts",
+    "json_leaves": """WITH l AS (SELECT conv_id, turn, unnest([role, text]) AS leaf, unnest([0, 1]) AS k FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS pos, leaf FROM l""",
+    "json_text": "SELECT conv_id, string_agg(role || chr(10) || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id",
+    "chat_transcript": """SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, '[?] ' || role || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || repeat('-', 20) || chr(10) AS entry FROM conversations""",
+    "chat_parts": f"{_chat_sql(500)} SELECT p.part_no, CAST(count(*) AS BIGINT) AS n_messages, CAST(sum(w.words) AS BIGINT) AS n_words, min(p.line_no) AS first_message FROM parts p JOIN weighted w USING (line_no) GROUP BY p.part_no",
+    "chat_parts_tiny": f"{_chat_sql(3)} SELECT part_no, CAST(count(*) AS BIGINT) AS n_messages, min(line_no) AS first_message FROM parts GROUP BY part_no",
+    "chat_messages": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg_no, 't' || turn AS date, role AS sender, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations""",
+    "chat_file_order": "SELECT * FROM (VALUES ('messages10.html', 10::BIGINT), ('messages2.html', 2), ('messages.html', 1), ('messages_x.html', 0), ('messages007.html', 7), ('old_messages3.html.html', 3)) t(name, file_no)",
+    "part_names": "SELECT * FROM (VALUES ('a.txt', 'a_part_7.txt', 'a.txt'), ('b.tar.gz', 'b.tar_part_7.gz', 'b.tar.txt'), ('.profile', '.profile_part_7', '.profile.txt'), ('none', 'none_part_7', 'none.txt'), ('x.', 'x_part_7.', 'x.txt'), ('..y.md', '..y_part_7.md', '..y.txt')) t(name, part, text)",
+    "text_functions": f"""SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS cleaned,
+md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS kept_lines,
+CAST({_WORDS.format('text')} AS BIGINT) AS n_words, CAST(len(string_split(text, chr(10))) + 2 AS BIGINT) AS n_lines FROM documents""",
+    "epub_text": f"WITH {_PAGE_TEXT} SELECT page_id::VARCHAR AS file, array_to_string(ls, chr(10)) || chr(10) || chr(10) || 'note ' || page_id || chr(10) AS content FROM page_texts",
+    "spine_join": "SELECT * FROM (VALUES ('b', 0, 'c', 'c.svg', 'image/svg+xml'), ('b', 1, 'a', 'a2.xhtml', 'text/html'), ('b', 6, 'h', 'h', ''), ('b', 7, 'a', 'a2.xhtml', 'text/html'), ('k', 0, 'a', 'k.html', 'text/html')) t(file, pos, idref, href, media_type)",
+    "member_path": "SELECT * FROM (VALUES ('OEBPS/c.opf', '../t/a.xhtml', 't/a.xhtml'), ('c.opf', './a.xhtml', 'a.xhtml'), ('OEBPS/c.opf', '/x/y', 'x/y'), ('OEBPS/c.opf', 'a%20b.xhtml', 'OEBPS/a%20b.xhtml'), ('a/b/c.opf', 'd//e#f', 'a/b/d/e#f')) t(package, href, member)",
+    "sniff_encoding": "SELECT * FROM (VALUES (1, 'ISO-8859-1', 43), (2, 'utf-8', 2), (3, 'utf-8', 18), (4, 'utf-16', 12), (5, 'utf-8', 0)) t(id, encoding, n_chars)",
+}
