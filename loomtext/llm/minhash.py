@@ -34,6 +34,8 @@ from loomtext.llm.textvec import hash_words, mix, shingle_set
 
 #: Buckets up to this many members give their open pairs directly (28 pairs at most).
 SMALL = 8
+#: Bits of a set's bitmap.
+BITS = 2048
 #: Candidate ids up to this many are broadcast (16 MB); beyond, a shuffled semi-join is used.
 BROADCAST_IDS = 1_000_000
 
@@ -95,7 +97,11 @@ def _sets(n: int):
         words = hash_words(piece.column("text"))
         sets = [shingle_set(words.of(d), n).view(np.int64) for d in range(piece.num_rows)]
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))], ["node", "set"])
+        marks = np.zeros((len(sets), BITS), bool)
+        for row, s in zip(marks, sets):
+            row[s & (BITS - 1)] = True
+        bits = pa.array(list(np.packbits(marks, axis=1).view(np.int64)), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets))), bits], ["node", "set", "bits"])
 
     return map_pieces(run)
 
@@ -118,14 +124,26 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     Shingles are ordered rarest first; of two sets above the threshold, each
     has a common shingle among its n - ceil(percent * n / 100) + 1 first ones.
+    Two bounds inside the join keep copies of one text that were edited too
+    much to be linked from being paired.  Shingles that no other component has
+    cannot be common, which leaves ``most``; and a shingle whose bit the other
+    set's bitmap lacks is not in it.
     """
     tokens = members.join(sets, "node").select("node", "n", "label", F.explode("set").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    rank = Window.partitionBy("node").orderBy("df", "t")
+    by_node = Window.partitionBy("node")
     kept = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    heads = tokens.join(often, "t").withColumn("r", F.row_number().over(rank)).filter((F.col("r") <= kept) & (F.col("lo") != F.col("hi"))).select("t", "node", "n", "label")
-    other = heads.select("t", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label")))
-    return heads.join(other, "t").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & _fits("n", "n2", percent)).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    known = tokens.join(often, "t").withColumn("r", F.row_number().over(by_node.orderBy("df", "t"))).withColumn("most", F.col("n") - F.count(F.when(F.col("lo") == F.col("hi"), 1)).over(by_node))
+    heads = known.filter((F.col("r") <= kept) & (F.col("lo") != F.col("hi")) & (100 * F.col("most") >= percent * F.col("n"))).select("t", "node", "n", "label", "most")
+    heads = heads.join(sets.select("node", "bits"), "node")
+    other = heads.select("t", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "most", "bits")))
+    def lacks(x: str, y: str) -> str:
+        return " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(BITS // 64))
+
+    # common / (n + n2 - common) >= percent / 100, for the most that can be common
+    enough = lambda common: F.expr(f"{100 + percent} * ({common}) >= {percent} * (n + n2)")
+    possible = enough("least(most, most2)") & enough(f"n - ({lacks('bits', 'bits2')})") & enough(f"n2 - ({lacks('bits2', 'bits')})")
+    return heads.join(other, (heads["t"] == other["t"]) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & possible).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -152,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     else:
         ids = members.select(F.col("node").alias("doc_id")).distinct()
         few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = staging.put(slim.join(few, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")))
+        sets = staging.put(slim.join(few, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, set array<long>, bits array<long>").groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits")))
         stars = members.filter((F.col("node") != F.col("centre")) & _fits("n", "centre_n", percent))
         pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         edges = staging.put(_linked(pairs, sets, percent))
