@@ -16,8 +16,9 @@ pairs:
    can evade.
 
 Pairs inside one component need no check for the result.  With 48 bands of 8
-values a pair at 0.85 shares no band with probability 2e-7, with 36 bands of 6
-at 0.8 1e-5 of 5-word shingles; every pair that shares one is decided exactly.
+values a pair at 0.85 shares no band with probability 2e-7, with 40 bands of 6
+a pair at 0.8 with probability 5e-6; every pair that shares one is decided
+exactly.
 """
 
 from __future__ import annotations

@@ -511,3 +511,23 @@ def test_license_query_and_hard_rows(spark, texts, hard, empty):
     rows = sorted(map(str, (tuple(r) for r in licenses.scan(df).collect())))
     assert rows == sorted(map(str, ((d, *plain_license(t)) for d, t in HARD + more)))
     assert licenses.scan(empty).count() == 0
+
+
+def test_components_of_random_graphs_and_chains(spark):
+    from loomtext.llm.common import Staging
+    from loomtext.llm.components import components
+
+    rng = random.Random(9)
+    for edges in ([(i, i + 1) for i in range(200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(180)], [(0, i) for i in range(1, 50)] + [(7, 7), (60, 61), (61, 60)], []):
+        up = {x: x for e in edges for x in e}
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in edges:
+            x, y = sorted((top(x), top(y)))
+            up[y] = x
+        got = components(spark.createDataFrame(edges, "a long, b long"), Staging(spark)).collect()
+        assert {r.node: r.label for r in got} == {x: top(x) for x in up} and len(got) == len(up)
