@@ -38,5 +38,6 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat_files(spark: SparkSession, path: str) -> DataFrame:
-    """Chat export pages (file, name, content, file_no)."""
-    return read_text(spark, path, "messages*.html").withColumn("file_no", T.chat_file_number("name"))
+    """Chat export pages (file, name, content, file_no); a page that isn't UTF-8 is left out, the others stay."""
+    pages = read_bytes(spark, path, "messages*.html").withColumn("content", F.col("content").cast("string")).filter(F.is_valid_utf8("content"))
+    return pages.withColumn("file_no", T.chat_file_number("name"))

@@ -59,6 +59,7 @@ def test_json_epub_and_chat_conversions(spark, tmp_path):
     message = '<div class="message"><div class="body"><div class="from_name">A</div><div class="text">{}</div></div></div>'
     (src / "chat/messages.html").write_text(message.format("a b c") + message.format("d"))
     (src / "chat/messages2.html").write_text(message.format("e"))
+    (src / "chat/messages3.html").write_bytes(message.format("\xff").encode("latin-1"))
     (src / "chat/other.html").write_text(message.format("no"))
     convert.convert_json(spark, str(src / "json"), str(out / "j"))
     assert tree(out / "j") == {"d.txt": "x\n\né"}
