@@ -10,14 +10,17 @@ import io
 import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from loomtext.functions import markup
 from loomtext.functions import text as T
 from loomtext.functions.jsontext import json_leaves
 from loomtext.operators import chat, split
 from loomtext.operators.lines import explode_lines, join_files, line_statistics
+from loomtext.plans import filequeries
 from loomtext.sources import epub
 
 DELIMITERS = ["Licensed under", "Released under", "###"]
@@ -119,10 +122,7 @@ def chat_parts_tiny(spark, sf_dir):
 
 def chat_messages(spark, sf_dir):
     """Messages read back from pages made of the turns, one page a conversation."""
-    e = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    block = F.concat(F.lit('<div class="message default clearfix"><div class="body"><div class="pull_right date details" title="t'), F.col("turn").cast("string"), F.lit('">x</div><div class="from_name"> '), e(F.col("role")), F.lit(' </div><div class="text">'), e(F.col("text")), F.lit("</div></div></div>"))
-    pages = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n").alias("content"))
-    return chat.extract_messages(pages, ("conv_id",))
+    return chat.extract_messages(filequeries.chat_pages(spark, sf_dir), ("conv_id",))
 
 
 def chat_file_order(spark, sf_dir):
@@ -153,10 +153,14 @@ def _epub(page_id: int, html: str) -> bytes:
     return out.getvalue()
 
 
+@F.pandas_udf(types.BinaryType())
+def _pack(page_id: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([_epub(*x) for x in zip(page_id, html)], dtype=object)
+
+
 def epub_text(spark, sf_dir):
     """Books made of one page and a note each."""
-    pack = F.udf(_epub, "binary")
-    books = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), pack("page_id", "html").alias("content"))
+    books = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), _pack("page_id", "html").alias("content"))
     return epub.to_documents(books)
 
 
@@ -182,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         split_lines, split_parts, split_bytes, split_words, split_delimiter, split_words_delimited, line_stats, section_marks,
         html_to_text, json_leaves_query, json_text, chat_transcript, chat_parts, chat_parts_tiny, chat_messages, chat_file_order,
         part_names, text_functions, epub_text, spine_join, member_path, sniff_encoding,
+        filequeries.file_lines, filequeries.part_files, filequeries.json_files, filequeries.chat_export,
     )
 }
 
@@ -265,4 +270,10 @@ CAST({_WORDS.format('text')} AS BIGINT) AS n_words, CAST(len(string_split(text,
     "spine_join": "SELECT * FROM (VALUES ('b', 0, 'c', 'c.svg', 'image/svg+xml'), ('b', 1, 'a', 'a2.xhtml', 'text/html'), ('b', 6, 'h', 'h', ''), ('b', 7, 'a', 'a2.xhtml', 'text/html'), ('k', 0, 'a', 'k.html', 'text/html')) t(file, pos, idref, href, media_type)",
     "member_path": "SELECT * FROM (VALUES ('OEBPS/c.opf', '../t/a.xhtml', 't/a.xhtml'), ('c.opf', './a.xhtml', 'a.xhtml'), ('OEBPS/c.opf', '/x/y', 'x/y'), ('OEBPS/c.opf', 'a%20b.xhtml', 'OEBPS/a%20b.xhtml'), ('a/b/c.opf', 'd//e#f', 'a/b/d/e#f')) t(package, href, member)",
     "sniff_encoding": "SELECT * FROM (VALUES (1, 'ISO-8859-1', 43), (2, 'utf-8', 2), (3, 'utf-8', 18), (4, 'utf-16', 12), (5, 'utf-8', 0)) t(id, encoding, n_chars)",
+    "file_lines": f"WITH {_DOC_LINES} SELECT 'd' || file || '.txt' AS name, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes, max(line_no) AS last_line FROM lines GROUP BY file",
+    "part_files": f"""WITH {_DOC_LINES} SELECT 'd' || file || '_part_' || (line_no // 5 + 1) || '.txt' AS name, md5(string_agg(line, '' ORDER BY line_no)) AS content_md5 FROM lines GROUP BY file, line_no // 5""",
+    "json_files": "SELECT 'c' || conv_id || '.v1.txt' AS name, md5(string_agg(role || chr(10) || text, chr(10) ORDER BY turn)) AS content_md5 FROM conversations GROUP BY conv_id",
+    "chat_export": f"""{_chat_sql(500)}, entries AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no,
+  '[t' || turn || '] ' || role || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || repeat('-', 20) || chr(10) AS entry FROM conversations)
+SELECT 'chat_part_' || part_no || '.txt' AS name, md5(chr(65279) || string_agg(entry, '' ORDER BY line_no)) AS content_md5 FROM parts JOIN entries USING (line_no) GROUP BY part_no""",
 }
