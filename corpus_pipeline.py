@@ -8,19 +8,35 @@ in the cluster's shared folder and reads them again as the next one's input.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, decontaminate, minhash, quality, secrets
 from loomtext.llm.common import Staging, table
+from loomtext.ship import ship
+
+
+def _shipped(stage):
+    """Workers can import the package wherever a stage is called from."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees; the trees learn from this stage's own input and ``labels``."""
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, trees, tuple(docs.columns)).filter("kept").select(*docs.columns)
 
 
+@_shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at 0.8, the document with the smallest id; rows without id stay."""
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
@@ -38,16 +54,19 @@ def _one_row_each(left: DataFrame, found: DataFrame) -> DataFrame:
     return whole.unionByName(left.filter("doc_id is null"))
 
 
+@_shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that aligns with a benchmark item."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_shipped
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark and n_chars counted anew."""
     return secrets.redacted(docs)
 
 
+@_shipped
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_chars, n_tokens, ids) of each document."""
     import public_tokenizers
