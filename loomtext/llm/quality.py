@@ -210,15 +210,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return train(x, np.array([r.y for r in got]), np.array(list(FEATURES.values())))
 
 
+def _verdict(counts: np.ndarray, x: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, score, kept) for each text."""
+    p = trees.score(x)
+    failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
+    return failed, p, ~failed & (p >= 0.5)
+
+
+def passing(docs: DataFrame, trees: Trees) -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept."""
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        return piece.filter(pa.array(_verdict(*statistics(piece.column("text")), trees)[2]))
+
+    return docs.mapInArrow(map_pieces(run), docs.schema)
+
+
 def score(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, COUNTS, base_failed, score and kept for each row of ``docs``; null text counts as empty."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         counts, x = statistics(piece.column("text"))
-        p = trees.score(x)
-        failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
+        failed, p, kept = _verdict(counts, x, trees)
         cols = [pa.array(np.ascontiguousarray(counts[:, k])) for k in range(len(COUNTS))]
-        return pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), *cols, pa.array(failed), pa.array(p), pa.array(~failed & (p >= 0.5))], [*keep, *COUNTS, "base_failed", "score", "kept"])
+        return pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), *cols, pa.array(failed), pa.array(p), pa.array(kept)], [*keep, *COUNTS, "base_failed", "score", "kept"])
 
     own = docs.select(*dict.fromkeys((*keep, "text")))
     fields = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keep)

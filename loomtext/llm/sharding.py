@@ -68,28 +68,29 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 16, seed: int = 11) -> Da
 
     Sizes differ by one at most; the first shards are the larger ones.  Equal
     rows are dealt one by one, so a hot group spreads over all shards.  An
-    empty table gives no rows.  The input is written to the shared folder once,
-    so partitions stay the same when a task runs again.
+    empty table gives no rows.  Columns of the input named shard or slot are
+    replaced.  The input is written to the shared folder once, so partitions
+    stay the same when a task runs again.
     """
-    spark = rows.sparkSession
-    staged = Staging(spark).put(rows.withColumn("_rid", F.monotonically_increasing_id()))
-    staged = staged.withColumn("_pid", F.shiftright("_rid", 33).cast("int"))
-    counts = staged.groupBy(F.col("_pid").alias("pid")).agg(F.count("*").alias("n"))
+    spark, rows = rows.sparkSession, rows.drop("shard", "slot")
+    staged = Staging(spark).put(rows.withColumn("_loom_rid", F.monotonically_increasing_id()))
+    staged = staged.withColumn("_loom_pid", F.shiftright("_loom_rid", 33).cast("int"))
+    counts = staged.groupBy(F.col("_loom_pid").alias("pid")).agg(F.count("*").alias("n"))
     total, last = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("pid"), F.lit(0))).first()
     sizes = [total // shards + (k < total % shards) for k in range(shards)]
     matrix = communication_matrix(counts, sizes, int(last).bit_length(), seed)
-    matrix = matrix.selectExpr("pid", "transform(sequence(1, size(deal)), k -> aggregate(slice(deal, 1, k), 0L, (a, x) -> a + x)) as upto")
+    matrix = matrix.selectExpr("pid as _loom_to", "transform(sequence(1, size(deal)), k -> aggregate(slice(deal, 1, k), 0L, (a, x) -> a + x)) as _loom_upto")
 
-    local = Window.partitionBy("_pid").orderBy(F.xxhash64(F.lit(seed + 1), "_rid"), "_rid")
-    dealt = staged.withColumn("_at", F.row_number().over(local) - 1).join(matrix, F.col("_pid") == F.col("pid"))
-    dealt = dealt.withColumn("shard", F.expr("size(filter(upto, x -> x <= _at))")).drop("_at", "pid", "upto")
+    local = Window.partitionBy("_loom_pid").orderBy(F.xxhash64(F.lit(seed + 1), "_loom_rid"), "_loom_rid")
+    dealt = staged.withColumn("_loom_at", F.row_number().over(local) - 1).join(matrix, F.col("_loom_pid") == F.col("_loom_to"))
+    dealt = dealt.withColumn("shard", F.expr("size(filter(_loom_upto, x -> x <= _loom_at))")).drop("_loom_at", "_loom_to", "_loom_upto")
 
     cut = max(1, -(-total // (shards * PIECE)))
-    order = F.xxhash64(F.lit(seed + 2), "_rid")
-    dealt = dealt.withColumn("_piece", F.pmod(order, F.lit(cut)))
-    before = Window.partitionBy("shard").orderBy("_piece")
-    held = dealt.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
-    held = held.select("shard", "_piece", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
-    own = Window.partitionBy("shard", "_piece").orderBy(order, "_rid")
-    placed = dealt.withColumn("_own", F.row_number().over(own) - 1).join(held, ["shard", "_piece"])
-    return placed.withColumn("slot", (F.col("_before") + F.col("_own")).cast("long")).select(*rows.columns, "shard", "slot")
+    order = F.xxhash64(F.lit(seed + 2), "_loom_rid")
+    dealt = dealt.withColumn("_loom_piece", F.pmod(order, F.lit(cut)))
+    before = Window.partitionBy("shard").orderBy("_loom_piece")
+    held = dealt.groupBy("shard", "_loom_piece").agg(F.count("*").alias("_loom_n"))
+    held = held.select("shard", "_loom_piece", (F.sum("_loom_n").over(before) - F.col("_loom_n")).alias("_loom_before"))
+    own = Window.partitionBy("shard", "_loom_piece").orderBy(order, "_loom_rid")
+    placed = dealt.withColumn("_loom_own", F.row_number().over(own) - 1).join(held, ["shard", "_loom_piece"])
+    return placed.withColumn("slot", (F.col("_loom_before") + F.col("_loom_own")).cast("long")).select(*rows.columns, "shard", "slot")

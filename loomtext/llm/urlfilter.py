@@ -56,8 +56,10 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     Verdict ``allow`` without an active entry; ``invalid`` without a host.  Of
     equally long keys denial wins, then the list's name.  A null fetch day meets
     no entry.  Equal captures are evaluated once, so a hot URL costs one probe
-    for each day; n_active counts active (list, key) entries.
+    for each day; n_active counts active (list, key) entries.  Columns of the
+    captures that have these names are replaced.
     """
+    captures = captures.drop("verdict", "matched_key", "matched_list", "n_active")
     bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / BUCKET)
     asked = captures.select("url", "fetched").filter("url is not null and fetched is not null").distinct()
     last = captures.agg(F.max("fetched").alias("last"))
@@ -68,7 +70,7 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     met = probes.join(spread, ["key", "bucket"]).filter("since <= fetched and fetched < until")
     rank = F.struct(F.length("key").alias("n"), (F.col("verdict") == "deny").alias("deny"), F.col("list"), "key", "verdict")
     best = met.groupBy("url", "fetched").agg(F.max(rank).alias("best"), F.count("*").alias("n"))
-    best = best.select(F.col("url").alias("_u"), F.col("fetched").alias("_f"), "best", "n")
+    best = best.select(F.col("url").alias("_u"), F.col("fetched").alias("_f"), F.col("best").alias("_best"), F.col("n").alias("_n"))
     joined = captures.join(best, (captures["url"] == best["_u"]) & (captures["fetched"] == best["_f"]), "left")
-    verdict = F.when(F.coalesce(host(F.col("url")), F.lit("")) == "", "invalid").otherwise(F.coalesce("best.verdict", F.lit("allow")))
-    return joined.select(*(captures[c] for c in captures.columns), verdict.alias("verdict"), F.col("best.key").alias("matched_key"), F.col("best.list").alias("matched_list"), F.coalesce("n", F.lit(0)).cast("long").alias("n_active"))
+    verdict = F.when(F.coalesce(host(F.col("url")), F.lit("")) == "", "invalid").otherwise(F.coalesce("_best.verdict", F.lit("allow")))
+    return joined.select(*(captures[c] for c in captures.columns), verdict.alias("verdict"), F.col("_best.key").alias("matched_key"), F.col("_best.list").alias("matched_list"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"))

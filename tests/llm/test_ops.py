@@ -127,8 +127,10 @@ def test_matrix_margins(spark):
 
 
 def test_shards_are_exact_gapless_and_mixed(spark):
-    df = spark.range(5000, numPartitions=7).withColumn("shard_", sharding.F.lit(1))
-    rows = sharding.shuffle_into_shards(df, 16).collect()
+    df = spark.range(5000, numPartitions=7).selectExpr("id", "1 as shard", "2 as pid", "3 as n", "4 as upto", "5 as deal")
+    got = sharding.shuffle_into_shards(df, 16)
+    assert got.columns == ["id", "pid", "n", "upto", "deal", "shard", "slot"]
+    rows = got.collect()
     assert sorted(r.id for r in rows) == list(range(5000))
     by = defaultdict(list)
     for r in rows:
@@ -398,7 +400,7 @@ def test_url_filter_against_plain_python(spark):
     events = [(name, "deny" if name == "spam" else "allow", *rest) for name, _, *rest in events] + [("spam", "deny", None, day(1), "add"), ("spam", "deny", "a.com", None, "add")]
     caps = [(k, f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(['', 'u@'])}{rng.choice(hosts).upper()}{rng.choice(['', ':80'])}/{rng.choice(['', 'p', 'q/r', 'p?x=1'])}", day(rng.randint(0, 220))) for k in range(300)]
     caps += [(900, None, day(3)), (901, "nonsense", day(3)), (902, "http://a.com/", None), caps[0]]
-    got = urlfilter.filter_captures(spark.createDataFrame(caps, "page_id long, url string, fetched date"), spark.createDataFrame(events, "list string, verdict string, key string, day date, action string"))
+    got = urlfilter.filter_captures(spark.createDataFrame([(*c, 1, 2, 3) for c in caps], "page_id long, url string, fetched date, best int, n int, verdict int"), spark.createDataFrame(events, "list string, verdict string, key string, day date, action string"))
     state = defaultdict(dict)
     for name, verdict, key, when, action in events:
         if key and when:

@@ -69,7 +69,8 @@ def test_bpe_stage(spark, docs):
 
 
 def test_stages_on_hard_and_empty_rows(spark, hard):
-    for rows in (hard, hard.limit(0)):
+    clash = hard.selectExpr("*", "1 as kept", "2 as score", "3 as ids", "4 as n", "5 as component_id")
+    for rows in (hard, hard.limit(0), clash):
         for _, stage in pipeline.STAGES:
             out = stage(spark, rows, SF)
             assert out.count() <= rows.count()
