@@ -33,7 +33,7 @@ def _shipped(stage):
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees; the trees learn from this stage's own input and ``labels``."""
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, trees, tuple(docs.columns)).filter("kept").select(*docs.columns)
+    return quality.passing(docs, trees)
 
 
 @_shipped
@@ -68,11 +68,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_shipped
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, n_tokens, ids) of each document."""
+    """(doc_id, lang, source, n_chars, n_tokens, ids) of each document; older columns named n_tokens or ids are replaced."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.encode(docs, path, pattern, tuple(c for c in docs.columns if c != "text"))
+    return bpe.encode(docs, path, pattern, tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids")))
 
 
 STAGES = [
