@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from loomtext.functions import chatpage
 from loomtext.functions import text as T
-from loomtext.operators.split import _fold
+from loomtext.operators.split import _fold, weigh
 
 
 def extract_messages(pages: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -54,4 +54,4 @@ def cut_by_words(messages: DataFrame, limit: int) -> DataFrame:
     still empty: a first message above the limit leaves part 1 without rows,
     which the writer creates all the same.
     """
-    return _fold(messages, T.count_words("text"), F.lit(False), lambda total, held, w, flag: total + w > limit)
+    return _fold(messages, weigh(messages, T.count_words("text")), lambda total, held, w, flag: total + w > limit)

@@ -3,8 +3,9 @@
 Each operator takes (file, line_no, line) and adds ``part_no``; no line is ever
 cut, so the parts in order give the file back.  Cuts by count, into equal
 parts and at delimiters are set-based.  Cuts by weight depend on where the part
-before ended: only (file, line_no, weight) is sorted by file and streamed with a
-constant state, and the part numbers join the lines again by (file, line_no).
+before ended, so they stream a file's rows with a constant state.  Whatever is
+sorted by file is narrow, (file, line_no, weight, flag); part numbers join the
+lines again by (file, line_no), so the text of a huge file stays spread.
 """
 
 from __future__ import annotations
@@ -56,13 +57,18 @@ def _stream(cut: Step) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _fold(lines: DataFrame, weight: Column, flag: Column, cut: Step) -> DataFrame:
-    narrow = lines.select("file", "line_no", weight.cast("long").alias("w"), flag.alias("flag"))
+def _fold(lines: DataFrame, narrow: DataFrame, cut: Step) -> DataFrame:
+    """``lines`` with the part numbers of a walk along ``narrow`` (file, line_no, w, flag)."""
+    narrow = narrow.select("file", "line_no", F.col("w").cast("long").alias("w"), "flag")
     kind = narrow.schema["file"].dataType.simpleString()
     numbered = narrow.repartition("file").sortWithinPartitions("file", "line_no").mapInArrow(_stream(cut), f"file {kind}, line_no long, part_no long")
     return lines.join(numbered, ["file", "line_no"])
 
 
+def weigh(lines: DataFrame, weight: Column) -> DataFrame:
+    return lines.select("file", "line_no", weight.alias("w"), F.lit(False).alias("flag"))
+
+
 def _greedy(limit: int) -> Step:
     """A part takes lines while they fit; a line above the limit stands alone."""
     return lambda total, held, w, flag: held > 0 and total + w > limit
@@ -70,30 +76,33 @@ def _greedy(limit: int) -> Step:
 
 def by_bytes(lines: DataFrame, limit: int) -> DataFrame:
     """As many lines as ``limit`` UTF-8 bytes hold, terminators counted."""
-    return _fold(lines, T.count_bytes("line"), F.lit(False), _greedy(limit))
+    return _fold(lines, weigh(lines, T.count_bytes("line")), _greedy(limit))
 
 
 def by_words(lines: DataFrame, limit: int) -> DataFrame:
     """As many lines as ``limit`` words hold."""
-    return _fold(lines, T.count_words("line"), F.lit(False), _greedy(limit))
+    return _fold(lines, weigh(lines, T.count_words("line")), _greedy(limit))
+
+
+def _starts(lines: DataFrame, delimiters: list[str]) -> DataFrame:
+    """(file, line_no, w, starts), without the lines' text."""
+    above = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    flags = lines.select("file", "line_no", T.count_words("line").alias("w"), T.contains_any("line", delimiters).alias("hit"))
+    known = F.last(F.when(F.col("w") > 0, F.col("hit")), ignorenulls=True).over(above)
+    return flags.select("file", "line_no", "w", (F.col("hit") & ~F.coalesce(known, F.lit(False))).alias("starts"))
 
 
 def mark_sections(lines: DataFrame, delimiters: list[str]) -> DataFrame:
     """``lines`` with starts: a delimiter line whose previous non-blank line is none."""
-    order = Window.partitionBy("file").orderBy("line_no")
-    above = order.rowsBetween(Window.unboundedPreceding, -1)
-    hit = T.contains_any("line", delimiters)
-    marked = lines.withColumn("_hit", hit).withColumn("_blank", T.is_blank("line"))
-    known = F.last(F.when(~F.col("_blank"), F.col("_hit")), ignorenulls=True).over(above)
-    return marked.withColumn("starts", F.col("_hit") & ~F.coalesce(known, F.lit(False))).drop("_hit", "_blank")
+    return lines.join(_starts(lines, delimiters).drop("w"), ["file", "line_no"])
 
 
 def by_words_at_delimiters(lines: DataFrame, limit: int, delimiters: list[str] | None) -> DataFrame:
     """Cuts only where a section starts and the part has ``limit`` words already; by words if no delimiter is set."""
     if not delimiters:
         return by_words(lines, limit)
-    marked = mark_sections(lines, delimiters)
-    return _fold(marked, T.count_words("line"), F.col("starts"), lambda total, held, w, flag: flag and held > 0 and total >= limit).drop("starts")
+    narrow = _starts(lines, delimiters).withColumnRenamed("starts", "flag")
+    return _fold(lines, narrow, lambda total, held, w, flag: flag and held > 0 and total >= limit)
 
 
 def by_delimiter(lines: DataFrame, delimiters: list[str] | str) -> DataFrame:
@@ -103,12 +112,12 @@ def by_delimiter(lines: DataFrame, delimiters: list[str] | str) -> DataFrame:
     without such lines they count from 1.  A file without delimiters is part 1.
     """
     delimiters = [delimiters] if isinstance(delimiters, str) else delimiters
-    marked = mark_sections(lines, delimiters)
-    order = Window.partitionBy("file").orderBy("line_no")
-    counted = marked.withColumn("_s", F.sum(F.col("starts").cast("long")).over(order))
-    files = marked.groupBy("file").agg(F.max("starts").alias("_any"), F.min_by("starts", "line_no").alias("_first"))
-    part = F.when(~F.col("_any"), F.lit(1)).when(F.col("_first"), F.col("_s")).otherwise(F.when(F.col("_s") == 0, F.lit(0)).otherwise(F.col("_s") + 1))
-    return counted.join(files, "file").withColumn("part_no", part.cast("long")).drop("starts", "_s", "_any", "_first")
+    file = Window.partitionBy("file")
+    counted = _starts(lines, delimiters).withColumn("s", F.sum(F.col("starts").cast("long")).over(file.orderBy("line_no")))
+    files = counted.groupBy("file").agg(F.max("starts").alias("cut"), F.min_by("starts", "line_no").alias("head"))
+    part = F.when(~F.col("cut"), F.lit(1)).when(F.col("head"), F.col("s")).when(F.col("s") == 0, F.lit(0)).otherwise(F.col("s") + 1)
+    numbered = counted.join(files, "file").select("file", "line_no", part.cast("long").alias("part_no"))
+    return lines.join(numbered, ["file", "line_no"])
 
 
 def roll_up(parts: DataFrame) -> DataFrame:
