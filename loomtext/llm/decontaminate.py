@@ -29,8 +29,7 @@ SEED, RARE, LEAST = 3, 0.6, 8
 #: Alignment score, as a share of an exact copy's, from which a passage counts as a leak.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_BYTES = 16 << 20
-_BITS = 20
+BLOCK_BYTES = 4 << 20
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -66,8 +65,16 @@ class Items:
     def index(self, spots: dict[int, list[tuple[int, int]]]) -> None:
         self.spots = spots
         self.seeds = np.array(sorted(spots), np.uint64)
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[(self.seeds & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
+        self.maybe = None
+
+    def _mask(self) -> tuple[np.uint64, np.ndarray]:
+        """Low bits that a seed may have, 32 slots a seed; made where it is used, not shipped."""
+        if self.maybe is None:
+            low = np.uint64((1 << min(24, max(16, (32 * len(self.seeds)).bit_length()))) - 1)
+            there = np.zeros(int(low) + 1, bool)
+            there[(self.seeds & low).astype(np.int64)] = True
+            self.maybe = low, there
+        return self.maybe
 
     def keep_rare(self, often: dict[int, int]) -> None:
         """Of each item the seeds in fewest documents stay; ties by seed."""
@@ -84,7 +91,8 @@ class Items:
     def hits(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, word position, seed) of the seeds in a batch."""
         g = ngrams(words.h, SEED)
-        at = np.flatnonzero(self.maybe[(g & np.uint64((1 << _BITS) - 1)).astype(np.int64)]) if len(self.seeds) else np.zeros(0, np.int64)
+        low, there = self._mask()
+        at = np.flatnonzero(there[(g & low).astype(np.int64)])
         if len(at):
             k = np.minimum(np.searchsorted(self.seeds, g[at]), len(self.seeds) - 1)
             at = at[self.seeds[k] == g[at]]
