@@ -2,11 +2,12 @@
 
 Only DataFrame functions are used.  Text blocks (lines and blank-line
 paragraphs) are sets of words; a template meets a block if the block contains
-at least ``CONTAINMENT`` of the template's words.  Words are ordered by their
-frequency over all blocks, rarest first, and four filters come before the exact
-count of common words:
+at least ``CONTAINMENT`` of the template's words.  Words are ordered by the
+number of texts that have them, rarest first, and four filters come before the
+exact count of common words:
 
-* prefix: a block must hold one of a template's n - need + 1 rarest words;
+* prefix: a block must hold one of a template's n - need + 1 rarest words, and
+  only texts that hold one are cut into blocks;
 * its own prefix: that word must lie before the block's last need - 1 words;
 * length: the block has at least ``need`` words of the vocabulary;
 * position: the words after the shared one must still suffice.
@@ -84,10 +85,9 @@ def template_hits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     templates = _template_words()
     vocab = sorted({w for _, ws in templates for w in ws})
-    blocks = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_blocks(F.col("text"))).alias("block"))
-    each = blocks.select("doc_id", "text_hash", words(F.col("block")).alias("ws"))
+    texts = docs.filter("text is not null").select("doc_id", "text", words(F.col("text")).alias("ws"))
 
-    often = each.select(F.explode(F.array_distinct(F.filter("ws", lambda w: w.isin(*vocab)))).alias("w")).groupBy("w").count()
+    often = texts.select(F.explode(F.array_distinct(F.filter("ws", lambda w: w.isin(*vocab)))).alias("w")).groupBy("w").count()
     seen = {r["w"]: r["count"] for r in often.collect()}  # one row for each template word at most
     order = sorted(vocab, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
@@ -102,6 +102,8 @@ def template_hits(docs: DataFrame) -> DataFrame:
     rare = sorted({w for w, _, _ in index})
     least = min(_need(len(ws)) for _, ws in templates)
 
+    held = texts.filter(F.exists("ws", lambda w: w.isin(*rare))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_blocks(F.col("text"))).alias("block"))
+    each = held.select("doc_id", "text_hash", words(F.col("block")).alias("ws"))
     near = each.withColumn("hit", F.array_distinct(F.filter("ws", lambda w: w.isin(*rare)))).filter("size(hit) > 0")
     at = F.array(*map(F.lit, order))
     ranks = F.array_sort(F.transform(F.array_distinct(F.filter("ws", lambda w: w.isin(*vocab))), lambda w: (F.array_position(at, w) - 1).cast("int")))
