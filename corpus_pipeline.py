@@ -41,7 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at 0.8, the document with the smallest id; rows without id stay."""
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     gone = found.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    few = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
+    left = docs.join(few, "doc_id", "left_anti")
     return _one_row_each(left, found)
 
 
