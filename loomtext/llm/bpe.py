@@ -5,8 +5,9 @@ that is itself an entry, with one probe and one comparison.  Tier two: any
 other pre-token is merged by a heap of ranked pairs over a doubly linked list
 of its bytes, O(n log n) however long it is.
 
-A worker keeps the results of recent pre-tokens, ``MEMO`` at most; nothing else
-grows with the corpus.  The driver reads the rank file once and ships it with
+A worker keeps the results of recent pre-tokens in two generations of ``MEMO``
+each: when the young one is full it becomes the old one, and what is asked for
+again moves back, so frequent words stay.  Nothing else grows with the corpus.  The driver reads the rank file once and ships it with
 the task, so executors need no copy of it.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from loomtext.llm.common import map_texts
 
-#: Pre-tokens remembered by a worker (about 200 bytes each).
-MEMO = 500_000
+#: Pre-tokens in a generation of a worker's memory (about 250 bytes each).
+MEMO = 150_000
 
 _U = np.uint64
 _STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -95,14 +96,18 @@ class Codec(dict):
         self.hash = PerfectHash(self.tokens)
         self.by_decimal = {str(r): t for t, r in ranks}
         self.split = regex.compile(pattern).findall
+        self.old: dict[str, str] = {}
 
     def __missing__(self, piece: str) -> str:
-        raw = piece.encode()
-        at = self.hash.probe(raw)
-        out = str(self.ids[at]) if self.tokens[at] == raw else " ".join(map(str, self.merge(raw)))
-        if len(self) >= MEMO:
-            self.clear()
+        out = self.old.get(piece)
+        if out is None:
+            raw = piece.encode()
+            at = self.hash.probe(raw)
+            out = str(self.ids[at]) if self.tokens[at] == raw else " ".join(map(str, self.merge(raw)))
         if len(piece) <= 64:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[piece] = out
         return out
 

@@ -77,8 +77,8 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     def total(weights: np.ndarray) -> np.ndarray:
         out = np.zeros(n, np.int64)
-        for at in range(0, len(raw), 1 << 20):  # sums by document of one slice at a time
-            to = min(len(raw), at + (1 << 20))
+        for at in range(0, len(raw), 1 << 17):  # sums by document of one slice at a time
+            to = min(len(raw), at + (1 << 17))
             lo, hi = np.searchsorted(offs, at, "right") - 1, np.searchsorted(offs, to, "left")
             edges = np.clip(offs[lo : hi + 1], at, to) - at
             run = np.concatenate(([0], np.cumsum(weights[raw[at:to]])))
