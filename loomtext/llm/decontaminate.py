@@ -1,12 +1,12 @@
-"""Operator 7, benchmark decontamination: rare seeds, then local alignment.
+"""Operator 7, benchmark decontamination: seeds, then local alignment.
 
-Every n-word run of a test item is a possible seed.  Their document frequencies
-over the whole corpus are counted first; of each item the rarest ``RARE`` share
-stays, so an item that a third of the corpus copies still has seeds.  A seed
-found in a passage opens a window of the item's length around its diagonal,
-which Smith-Waterman aligns word by word with the item.  The score is the best
-alignment over the score of an exact copy, so substitutions, insertions and
-deletions lower it smoothly.
+Every n-word run of a test item is a seed, however frequent: copies of an item
+raise the counts of just those seeds that survive their edits.  A seed found in
+a passage opens a window around its diagonal that holds any alignment through
+it which reaches the threshold.  Windows whose words cannot reach it, by a bound
+from above, are left; Smith-Waterman aligns the others word by word with the
+item.  The score is the best alignment over the score of an exact copy, so
+substitutions, insertions and deletions lower it smoothly.
 
 The items travel with the tasks, in blocks of ``BLOCK_BYTES`` of text; a larger
 benchmark takes one pass over the corpus for each block, with equal results.
@@ -19,13 +19,12 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomtext.llm.common import map_pieces
 from loomtext.llm.textvec import PUNCT_BYTES, hash_words, ngrams
 
-#: Words of a seed; share of an item's seeds that is kept, and how many at least.
-SEED, RARE, LEAST = 3, 0.6, 8
+#: Words of a seed.
+SEED = 3
 #: Alignment score, as a share of an exact copy's, from which a passage counts as a leak.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -48,6 +47,53 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def passages(item: np.ndarray, window: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(score, start, end) of local alignments of at least ``need``, best first; no two overlap and none is left between them."""
+    out, gaps = [], [(0, len(window))]
+    while gaps:
+        a, b = gaps.pop()
+        if not reaches(item, window[a:b], need):
+            continue
+        score, start = _ends(item, window[a:b])
+        at = np.flatnonzero(score >= need)
+        free = np.ones(b - a, bool)
+        found = []
+        for k in at[np.argsort(-score[at], kind="stable")].tolist():
+            x, y = int(start[k]), k + 1
+            if free[x:y].all():
+                free[x:y] = False
+                found.append((x, y))
+                out.append((int(score[k]), a + x, a + y))
+        if found:
+            found.sort()
+            gaps += [(a + x, a + y) for x, y in zip([0, *(f[1] for f in found)], [*(f[0] for f in found), b - a]) if x < y]
+    return out
+
+
+def reaches(item: np.ndarray, window: np.ndarray, need: int) -> bool:
+    """False only where no alignment reaches ``need``: no run of either side has enough words that the other side has, misses subtracted."""
+    for x, y in ((item, window), (window, item)):
+        total = np.cumsum(np.where(np.isin(x, y), MATCH, max(MISMATCH, GAP)))
+        if (total - np.minimum.accumulate(np.concatenate(([0], total[:-1])))).max() < need:
+            return False
+    return True
+
+
+def _ends(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window position the best alignment that ends there, as its score and its (latest) start."""
+    unit = 1 << 32  # score * unit + start
+    n = np.arange(len(window) + 1, dtype=np.int64)
+    j, row = n[1:] * (-GAP * unit), n.copy()
+    best = np.zeros(len(window), np.int64)
+    for w in item:
+        step = np.where(window == w, MATCH * unit, MISMATCH * unit)
+        t = np.maximum(np.maximum(row[:-1] + step, row[1:] + GAP * unit), n[1:])
+        t = np.maximum.accumulate(t + j) - j
+        row[1:] = np.maximum(t, n[1:])
+        np.maximum(best, row[1:], out=best)
+    return best >> 32, best & (unit - 1)
+
+
 class Items:
     """Hashed words and seeds of a block of test items."""
 
@@ -76,18 +122,6 @@ class Items:
             self.maybe = low, there
         return self.maybe
 
-    def keep_rare(self, often: dict[int, int]) -> None:
-        """Of each item the seeds in fewest documents stay; ties by seed."""
-        kept = defaultdict(list)
-        by_item = defaultdict(set)
-        for g, at in self.spots.items():
-            for k, _ in at:
-                by_item[k].add(g)
-        for k, own in by_item.items():
-            for g in sorted(own, key=lambda g: (often.get(g, 0), g))[: max(LEAST, int(np.ceil(RARE * len(own))))]:
-                kept[g] += [s for s in self.spots[g] if s[0] == k]
-        self.index(dict(kept))
-
     def hits(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, word position, seed) of the seeds in a batch."""
         g = ngrams(words.h, SEED)
@@ -102,35 +136,30 @@ class Items:
 
     def spans(self, words, d: int, found: list[tuple[int, int]]) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, word after the last) of one document's leaks; found: (seed, position)."""
-        windows = defaultdict(list)
+        windows = defaultdict(set)
         for g, p in found:
             for k, q in self.spots[g]:
-                n = len(self.words[k])
-                margin = max(8, n // 4)
-                windows[k].append((max(0, p - q - margin), p - q + n + margin))
+                windows[k].add(p - q)
         h, out = words.of(d), []
-        for k, spans in windows.items():
-            item, spans = self.words[k], sorted(set(spans))
-            merged = [list(spans[0])]
-            for a, b in spans[1:]:  # seeds on neighbouring diagonals share a window
-                if a - merged[-1][0] <= len(item) // 2:
+        for k, diagonals in windows.items():
+            item = self.words[k]
+            n, need = len(item), self.need(k)
+            reach = MATCH * n - need  # more insertions cost more than all the matches give above the threshold
+            merged = []
+            for p in sorted(diagonals):
+                a, b = max(0, p - reach), min(len(h), p + n + reach)
+                if merged and a <= merged[-1][1]:
                     merged[-1][1] = b
                 else:
                     merged.append([a, b])
-            own = []
-            for a, b in merged:
-                best, end = align(item, h[a:b])
-                score = best / (MATCH * len(item))
-                if score >= THRESHOLD:
-                    _, length = align(item[::-1], h[a : a + end][::-1])
-                    own.append((k, score, a + end - length, a + end))
-            last = -1
-            for span in sorted(own, key=lambda s: (s[2], -s[1])):  # windows of one copy may overlap
-                if span[2] >= last:
-                    out.append(span)
-                    last = span[3]
+            own = [(k, best / (MATCH * n), a + x, a + y) for a, b in merged for best, x, y in passages(item, h[a:b], need)]
+            out += sorted(own, key=lambda s: s[2])
         return out
 
+    def need(self, k: int) -> int:
+        """The least alignment score that makes a leak of item k."""
+        return int(np.ceil(THRESHOLD * MATCH * len(self.words[k])))
+
     def short_spans(self, h: np.ndarray) -> list[tuple[int, float, int, int]]:
         """Items shorter than a seed count where they stand word for word."""
         out = []
@@ -166,23 +195,6 @@ def _blocks(benchmark: DataFrame) -> list[Items]:
     return [*out, Items(ids, texts)] if ids else out
 
 
-def _with_rare_seeds(docs: DataFrame, items: Items) -> Items:
-    """Counts in how many documents each seed stands, over all documents, and keeps the rare ones."""
-
-    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        words = hash_words(piece.column("text"), PUNCT_BYTES)
-        doc, _, g = items.hits(words)
-        k = np.searchsorted(items.seeds, g)
-        pairs = np.unique(doc.astype(np.int64) * (len(items.seeds) + 1) + k)
-        seed, n = np.unique(pairs % (len(items.seeds) + 1), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(n.astype(np.int64))], ["seed", "n"])
-
-    often = docs.select("text").mapInArrow(map_pieces(run), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    counts = {int(items.seeds[r.seed]): r.n for r in often.collect()}  # one row for each seed of the block at most
-    items.keep_rare(counts)
-    return items
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): every passage that aligns with a test item.
 
@@ -194,8 +206,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, end_word long"
     out = None
     for items in _blocks(benchmark):
-        items = _with_rare_seeds(docs, items)
-
         def run(piece: pa.RecordBatch, items=items) -> pa.RecordBatch:
             found = items.leaks(piece.column("text"))
             rows = [(d, *span) for d, spans in enumerate(found) for span in spans]
@@ -210,8 +220,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no passage of the benchmark."""
     for items in _blocks(benchmark):
-        items = _with_rare_seeds(docs, items)
-
         def run(piece: pa.RecordBatch, items=items) -> pa.RecordBatch:
             return piece.filter(pa.array([not x for x in items.leaks(piece.column("text"))], pa.bool_()))
 

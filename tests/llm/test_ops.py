@@ -387,6 +387,34 @@ def test_leaks_planted_and_clean(spark, empty):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_spread_edits_align_however_often_they_are_copied(spark, copies):
+    rng = random.Random(6)
+    vocab = [f"v{k}" for k in range(2000)]
+    items = [(k, rng.choices(vocab, k=rng.randint(20, 60))) for k in range(40 if copies == 1 else 8)]
+    rows = []
+    for k, p in items:  # every fourth word, or a quarter of the words at random
+        edited = [f"x{at}" if (at % 4 == 3 if k % 2 else rng.random() < 0.25) else w for at, w in enumerate(p)]
+        rows.append((k, rng.choices(vocab, k=20) + edited + rng.choices(vocab, k=20)))
+    hashed = lambda ws: decontaminate.hash_words(pa.array([" ".join(ws)]), decontaminate.PUNCT_BYTES).h
+    want = {(d, d) for d, t in rows if decontaminate.align(hashed(items[d][1]), hashed(t))[0] >= len(items[d][1])}
+    assert len(want) >= 0.75 * len(rows)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows] * copies, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in items], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect())
+    assert got == {pair: copies for pair in want}
+    assert decontaminate.decontaminated(df, bench).count() == copies * (len(rows) - len(want))
+
+
+def test_passages_apart_by_insertions_and_side_by_side():
+    items = decontaminate.Items([5], [" ".join(f"w{k}" for k in range(59))])
+    w, gap = [f"w{k}" for k in range(59)], [f"z{k}" for k in range(24)]
+    texts = [w[:20] + gap + w[20:40] + gap + w[40:], gap + w + w + gap + w]
+    got = items.leaks(pa.array([" ".join(t) for t in texts]))
+    assert got[0] == [(0, (2 * 59 - 48) / 118, 0, 107)]
+    assert got[1] == [(0, 1.0, 24, 83), (0, 1.0, 83, 142), (0, 1.0, 166, 225)]
+
+
 # -- 8 -----------------------------------------------------------------------
 
 
