@@ -5,6 +5,10 @@ runs, PEM blocks, signed tokens) report only after decoding confirms their
 structure: DER lengths that nest and fill the value exactly and spell a private
 key, length-prefixed OpenSSH fields that end with the value, or token headers
 that are JSON objects naming an algorithm.
+
+A wrapped key is joined from its lines, in armour or without: line ends may be
+escaped, quoted or blanks, and lines may have a prefix (``> ``, ``+``, ``# ``).
+The key's own lengths tell where it ends.
 """
 
 from __future__ import annotations
@@ -27,12 +31,23 @@ KINDS = ("assign", "access", "hex", "pem", "key", "hexkey", "jwt")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+_ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEXKEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _OPENSSH = b"openssh-key-v1\x00"
+#: Where base64 of a DER sequence, an OpenSSH key or an armoured key may begin.
+_START = re.compile(r"M[A-P][A-Za-z0-9+/]{6}|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi")
+_RUN = re.compile(r"[A-Za-z0-9+/]+")
+_ESCAPED = {"/": "/", "u002f": "/", "u002b": "+", "%2f": "/", "%2b": "+"}
+_CHAR = re.compile(r"\\+(/|u002[bBfF])|(%2[bBfF])")
+_END = r"""(?:\r\n|\n|\r|\\+(?:[nr]|u000[aAdD]|x0[aAdD])|%0[aAdD]|<br[ ]*/?>|&\#(?:1[03]|x[aAdD]);)"""
+_BREAK = re.compile(_END)
+#: From one line of a key to the next: closing quotes and signs, line ends; or blanks; or quotes around a sign.
+_NEXT = re.compile(rf"""(?:(?:["'`][ \t]*[+.,;&]?|[ \t]*)[ \t]*\\?{_END})+|["'`][ \t]*[+.,][ \t]*(?=["'`])|[ \t]+""")
+_HEAD = re.compile(r"(?:[ \t]*\d{1,6}[ \t]*[:|][ \t]*|[ \t]*\d{1,6}[ \t]+)?[^A-Za-z0-9+/=\n\r\\%&]{0,32}")
+_PADDING = re.compile(r"(?:=|\\+u003[dD]|%3[dD]){0,2}")
 
 
 def unbase64(s: str) -> bytes | None:
@@ -85,6 +100,8 @@ def is_private_der(data: bytes) -> bool:
         return False
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # RSA: version and eight numbers
         return len(body[1][1]) >= 32
+    if len(tags) == 6 and set(tags) == {0x02}:  # DSA: version and five numbers
+        return len(body[1][1]) >= 32
     if len(tags) >= 2 and tags[1] == 0x04:  # EC: version, octets, tagged options
         return 16 <= len(body[1][1]) <= 80 and all(t in (0xA0, 0xA1) and der_items(v) is not None for t, v in body[2:])
     if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:  # PKCS#8
@@ -93,10 +110,10 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh(data: bytes) -> bool:
-    """cipher, kdf, options, count, public keys and the private part, each with its length."""
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key at the start: cipher, kdf, options, count, public keys and the private part, each with its length."""
     if not data.startswith(_OPENSSH):
-        return False
+        return None
     at = len(_OPENSSH)
 
     def field() -> bytes | None:
@@ -109,12 +126,16 @@ def is_openssh(data: bytes) -> bool:
         return value if at <= len(data) else None
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= count <= 16 or any(field() is None for _ in range(count)):
-        return False
-    return field() is not None and at == len(data)
+        return None
+    return at if field() is not None else None
+
+
+def is_openssh(data: bytes) -> bool:
+    return openssh_size(data) == len(data)
 
 
 def is_key(data: bytes | None) -> bool:
@@ -132,12 +153,108 @@ def is_token(head: str, body: str) -> bool:
         return False
 
 
-def _pem(body: str) -> bool:
-    if "Proc-Type:" in body:  # encrypted the old way: headers, a blank line, cipher blocks
-        _, _, rest = body.replace("\r\n", "\n").partition("\n\n")
-        data = unbase64(rest)
+def _join_lines(text: str, at: int, to: int, need: int | None = None, prefix: str | None = None) -> tuple[str, int]:
+    """Base64 characters from ``at``, over line ends and line prefixes, and where they end; ``need`` of them at most."""
+    prefix = _BREAK.split(text[max(0, at - 64) : at])[-1] if prefix is None else prefix
+    out, n, end = [], 0, at
+    while at < to and (need is None or n < need):
+        if m := _RUN.match(text, at, to):
+            part = m[0] if need is None else m[0][: need - n]
+            at = end = at + len(part)
+        elif m := _CHAR.match(text, at, to):
+            part = _ESCAPED[(m[1] or m[2]).lower()]
+            at = end = m.end()
+        elif m := _NEXT.match(text, at, to):
+            at = m.end()
+            if prefix and text.startswith(prefix, at):
+                at += len(prefix)
+            at = _HEAD.match(text, at, to).end()
+            continue
+        else:
+            break
+        out.append(part)
+        n += len(part)
+    return "".join(out), end
+
+
+def _size(text: str, at: int, head: str, to: int) -> int | None:
+    """Bytes of the key whose base64 may begin at ``at``, by its own lengths; None if there is none."""
+    if head[0] == "M":
+        data = unbase64(head)
+        k = data[1] & 0x7F if data[1] >= 0x80 else 0
+        if k > 3 or data[1] == 0x80:
+            return None
+        inner = data[2 + k :]
+        if inner[0] != 0x30 and (inner[0] != 0x02 or inner[1:2] not in (b"", b"\1")):
+            return None
+        return 2 + k + (int.from_bytes(data[2 : 2 + k], "big") if k else data[1])
+    need = 512
+    while True:
+        chars, _ = _join_lines(text, at, to, need)
+        again = chars.find(head, 1)  # another begin: the key of this one ends before it or is none
+        last = again >= 0 or len(chars) < need
+        chars = chars[:again] if again >= 0 else chars
+        data = unbase64(chars[: len(chars) - (len(chars) % 4 == 1)]) or b""
+        if head[0] == "b":
+            size = openssh_size(data)
+        else:
+            m = re.match(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----.*?-----END \1-----", data, re.S)
+            size = m.end() if m else None
+        if size is not None or last:
+            return size
+        need *= 4
+
+
+def wrapped(text: str, at: int = 0, to: int | None = None) -> list[tuple[int, int]]:
+    """(start, end) of whole keys in base64, in one line or several."""
+    out, to, done = [], len(text) if to is None else to, at
+    for m in _START.finditer(text, at, to):
+        a = m.start()
+        if a < done or a and text[a - 1].isascii() and text[a - 1].isalnum() and not _BREAK.fullmatch(text, max(0, _before(text, a)), a):
+            continue
+        size = _size(text, a, m[0], to)
+        if size is None:
+            continue
+        need = -(-size * 4 // 3)
+        chars, end = _join_lines(text, a, to, need)
+        if len(chars) == need and (m[0][0] == "L" or is_key(unbase64(chars))):
+            done = min(to, _PADDING.match(text, end).end())
+            out.append((a, done))
+    return out
+
+
+def _before(text: str, at: int) -> int:
+    """Start of an escape that may end at ``at``."""
+    k = max(text.rfind(c, max(0, at - 8), at) for c in "\\%")
+    return k if k >= 0 else at
+
+
+def _pem(text: str, a: int, b: int) -> bool:
+    """Whether an armour's body, text[a:b], is a whole key."""
+    body = text[a:b]
+    if "Proc-Type:" in body:  # encrypted the old way: headers, then cipher blocks
+        m = _BREAK.search(body, max(body.rfind("DEK-Info:"), body.rfind("Proc-Type:")))
+        if m is None:
+            return False
+        chars, end = _join_lines(text, a + m.start(), b, prefix=_BREAK.split(body[: body.index("Proc-Type:")])[-1])
+        if re.search("[A-Za-z0-9]", _BREAK.sub("", text[_PADDING.match(text, end).end() : b])):
+            return False
+        data = unbase64(chars)
         return bool(data) and len(data) % 8 == 0
-    return is_key(unbase64(body))
+    return is_key(unbase64(body)) or bool(wrapped(text, a, b))
+
+
+def armoured(text: str) -> list[tuple[int, int]]:
+    """(start, end) of armoured private keys; a BEGIN without its END, or with another BEGIN before it, is passed over."""
+    out, begin = [], None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None and begin[2] == m[2]:
+            if _pem(text, begin.end(), m.start()):
+                out.append((begin.start(), m.end()))
+            begin = None
+    return out
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -149,12 +266,16 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    if "-----BEGIN " in text:
-        out += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if _pem(m[2])]
+    pem = armoured(text) if "-----BEGIN " in text else []
+    out += [("pem", a, b) for a, b in pem]
+    keys = []
     for m in _B64.finditer(text):
         data = unbase64(m[0])
         if is_key(data) or data is not None and data.startswith(b"-----BEGIN ") and b"PRIVATE KEY-----" in data[:64]:
-            out.append(("key", m.start(), m.end()))
+            keys.append((m.start(), m.end()))
+    known = pem + keys
+    keys += [(a, b) for a, b in wrapped(text) if not any(x <= a and b <= y for x, y in known)]
+    out += [("key", a, b) for a, b in keys]
     if len(low) >= 64:
         out += [("hexkey", m.start(), m.end()) for m in _HEXKEY.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:

@@ -201,6 +201,40 @@ def test_structures_confirm_or_not():
     assert secrets.redact("nothing") == "nothing"
 
 
+def test_wrapped_keys_in_any_quoting():
+    rng = random.Random(8)
+    rsa = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, rng.randbytes(64)) for _ in range(8)))
+    dsa = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, rng.randbytes(n)) for n in (128, 20, 128, 128, 20)))
+    ec = tlv(0x30, tlv(2, b"\1") + tlv(4, rng.randbytes(32)) + tlv(0xA0, tlv(6, b"\x2a\x86\x48")))
+    f = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + f(b"none") + f(b"none") + f(b"") + (1).to_bytes(4, "big") + f(rng.randbytes(51)) + f(rng.randbytes(136))
+    assert secrets.is_key(dsa) and not secrets.is_key(dsa[:-1])
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    for key in (rsa, dsa, ec, ssh):
+        b64 = base64.b64encode(key).decode()
+        body = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+        lines = [begin, *body, end]
+        for join in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", " ", "\n> ", "\n+", "\n# ", "\n// ", '\\n" +\n    "', '",\n  "', "%0A"):
+            first = join.removeprefix("\n") if join[0] == "\n" and join != "\n" else ""
+            pem = join.join(lines)
+            for before in ("see\n" + first, f"a {begin} line is first\n{first}", f"{begin}\n{body[0][:20]} ...\n{first}"):
+                assert ("pem", len(before), len(before) + len(pem)) in secrets.find(before + pem + "\nend"), (join, before)
+                hidden = secrets.redact(before + pem + "\nend")
+                assert not any(x in hidden.removeprefix(before) for x in body) and hidden.endswith("[SECRET]\nend")
+            bare = join.join(body)
+            spans = [s for s in secrets.find(f"see\n{first}{bare}\nend") if s[0] == "key"]
+            assert spans == [("key", 4 + len(first), 4 + len(first) + len(bare))], (join, spans)
+        php = json.dumps(f"{begin}\n" + "\n".join(body) + f"\n{end}").replace("/", "\\/")
+        assert secrets.redact(php) == '"[SECRET]"'
+    old = [begin.replace("BEGIN", "BEGIN RSA"), "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *(base64.b64encode(rng.randbytes(48)).decode() for _ in range(3)), end.replace("END", "END RSA")]
+    for join in ("\n", "\\n", "\n> ", "\n+"):
+        assert secrets.redact(join.join(old)) == "[SECRET]"
+    b64 = base64.b64encode(rsa).decode()
+    assert not secrets.find(f"{begin}\n{b64[:300]}\n{b64[301:]}\n{end}"[: 300 + len(begin)])
+    twice = base64.encodebytes(f"{begin}\n{b64}\n{end}\n".encode()).decode()
+    assert secrets.redact(f"a\n{twice}b").startswith("a\n[SECRET]")
+
+
 # -- 4 -----------------------------------------------------------------------
 
 
