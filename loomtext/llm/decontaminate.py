@@ -1,7 +1,12 @@
 """Operator 7, benchmark decontamination: seeds, then local alignment.
 
-Every n-word run of a test item is a seed, however frequent: copies of an item
-raise the counts of just those seeds that survive their edits.  A seed found in
+Three words of a test item, in a row or with one left out, are a seed, however
+frequent: copies of an item raise the counts of just those seeds that survive
+their edits.  The words of a passage are taken in a row or with one or two left
+out, so edits of each third word leave seeds.  An alignment without a seed
+scores at most n / 2 + 3 for n words of an item, which is below the threshold
+for items of 7 to 73 words; of shorter ones each word is a seed, and of longer
+ones an alignment without a seed needs more than 73 words of the item.  A seed found in
 a passage opens a window around its diagonal that holds any alignment through
 it which reaches the threshold.  Windows whose words cannot reach it, by a bound
 from above, are left; Smith-Waterman aligns the others word by word with the
@@ -21,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomtext.llm.common import map_pieces
-from loomtext.llm.textvec import PUNCT_BYTES, hash_words, ngrams
+from loomtext.llm.textvec import _BASE, PUNCT_BYTES, hash_words, mix
 
-#: Words of a seed.
-SEED = 3
+#: Words of a seed; their places in an item and in a passage; items with fewer than ``SMALL`` words have each word as a seed.
+SEED, SMALL = 3, 7
+ITEM_PLACES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+TEXT_PLACES = (*ITEM_PLACES, (0, 2, 4), (0, 1, 4), (0, 3, 4))
 #: Alignment score, as a share of an exact copy's, from which a passage counts as a leak.
 THRESHOLD = 0.5
+#: The score of as many words in a row is a leak too, however long the item.
+LONG = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 4 << 20
 
@@ -47,12 +56,12 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def passages(item: np.ndarray, window: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+def passages(item: np.ndarray, known: tuple[np.ndarray, np.ndarray], window: np.ndarray, need: int) -> list[tuple[int, int, int]]:
     """(score, start, end) of local alignments of at least ``need``, best first; no two overlap and none is left between them."""
     out, gaps = [], [(0, len(window))]
     while gaps:
         a, b = gaps.pop()
-        if not reaches(item, window[a:b], need):
+        if not reaches(known, window[a:b], need):
             continue
         score, start = _ends(item, window[a:b])
         at = np.flatnonzero(score >= need)
@@ -70,11 +79,22 @@ def passages(item: np.ndarray, window: np.ndarray, need: int) -> list[tuple[int,
     return out
 
 
-def reaches(item: np.ndarray, window: np.ndarray, need: int) -> bool:
-    """False only where no alignment reaches ``need``: no run of either side has enough words that the other side has, misses subtracted."""
-    for x, y in ((item, window), (window, item)):
-        total = np.cumsum(np.where(np.isin(x, y), MATCH, max(MISMATCH, GAP)))
-        if (total - np.minimum.accumulate(np.concatenate(([0], total[:-1])))).max() < need:
+def reaches(known: tuple[np.ndarray, np.ndarray], window: np.ndarray, need: int) -> bool:
+    """False only where no alignment reaches ``need``: no run of either side has enough words that the other side has, misses subtracted.
+
+    ``known`` is the item as its sorted words and each word's place among them.
+    """
+    own, places = known
+    k = np.minimum(np.searchsorted(own, window), len(own) - 1)
+    there = own[k] == window
+    if MATCH * np.count_nonzero(there) < need:
+        return False
+    met = np.zeros(len(own), bool)
+    met[k[there]] = True
+    for hit in (met[places], there):
+        total = np.where(hit, MATCH, max(MISMATCH, GAP)).cumsum()
+        low = np.minimum(np.minimum.accumulate(total), 0)
+        if total[0] < need and (total[1:] - low[:-1]).max(initial=0) < need:
             return False
     return True
 
@@ -94,6 +114,15 @@ def _ends(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return best >> 32, best & (unit - 1)
 
 
+def gapped(h: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words at ``places`` from each position that has them all."""
+    n = max(0, len(h) - places[-1])
+    out = np.zeros(n, np.uint64)
+    for k in places:
+        out = out * _BASE + h[k : k + n]
+    return mix(out)
+
+
 class Items:
     """Hashed words and seeds of a block of test items."""
 
@@ -101,10 +130,13 @@ class Items:
         words = hash_words(pa.array(texts, pa.string()), PUNCT_BYTES)
         self.ids = ids
         self.words = [words.of(d).copy() for d in range(len(ids))]
+        self.known = [np.unique(h, return_inverse=True) for h in self.words]
         spots = defaultdict(list)
         for k, h in enumerate(self.words):
-            for at, g in enumerate(ngrams(h, SEED).tolist()):
-                spots[g].append((k, at))
+            for places in ITEM_PLACES if len(h) >= SMALL else ((0,),) if len(h) >= SEED else ():
+                for at, g in enumerate(gapped(h, places).tolist()):
+                    spots[g].append((k, at))
+        self.places = (*TEXT_PLACES, (0,)) if any(SEED <= len(h) < SMALL for h in self.words) else TEXT_PLACES
         self.short = [k for k, h in enumerate(self.words) if 0 < len(h) < SEED]
         self.index(dict(spots))
 
@@ -124,15 +156,20 @@ class Items:
 
     def hits(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, word position, seed) of the seeds in a batch."""
-        g = ngrams(words.h, SEED)
         low, there = self._mask()
-        at = np.flatnonzero(there[(g & low).astype(np.int64)])
-        if len(at):
+        out = []
+        for places in self.places:
+            g = gapped(words.h, places)
+            at = np.flatnonzero(there[(g & low).astype(np.int64)])
+            if not len(at):
+                continue
             k = np.minimum(np.searchsorted(self.seeds, g[at]), len(self.seeds) - 1)
             at = at[self.seeds[k] == g[at]]
-        doc = np.searchsorted(words.first, at, "right") - 1
-        whole = at + SEED <= words.first[doc + 1] if len(at) else np.zeros(0, bool)
-        return doc[whole], at[whole] - words.first[doc[whole]], g[at[whole]]
+            doc = np.searchsorted(words.first, at, "right") - 1
+            whole = at + places[-1] < words.first[doc + 1]
+            out.append((doc[whole], at[whole] - words.first[doc[whole]], g[at[whole]]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip((none, none, none.astype(np.uint64)), *out))
 
     def spans(self, words, d: int, found: list[tuple[int, int]]) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, word after the last) of one document's leaks; found: (seed, position)."""
@@ -152,13 +189,13 @@ class Items:
                     merged[-1][1] = b
                 else:
                     merged.append([a, b])
-            own = [(k, best / (MATCH * n), a + x, a + y) for a, b in merged for best, x, y in passages(item, h[a:b], need)]
+            own = [(k, best / (MATCH * n), a + x, a + y) for a, b in merged for best, x, y in passages(item, self.known[k], h[a:b], need)]
             out += sorted(own, key=lambda s: s[2])
         return out
 
     def need(self, k: int) -> int:
         """The least alignment score that makes a leak of item k."""
-        return int(np.ceil(THRESHOLD * MATCH * len(self.words[k])))
+        return min(int(np.ceil(THRESHOLD * MATCH * len(self.words[k]))), MATCH * LONG)
 
     def short_spans(self, h: np.ndarray) -> list[tuple[int, float, int, int]]:
         """Items shorter than a seed count where they stand word for word."""

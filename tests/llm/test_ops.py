@@ -425,7 +425,7 @@ def test_leaks_planted_and_clean(spark, empty):
 def test_spread_edits_align_however_often_they_are_copied(spark, copies):
     rng = random.Random(6)
     vocab = [f"v{k}" for k in range(2000)]
-    items = [(k, rng.choices(vocab, k=rng.randint(20, 60))) for k in range(40 if copies == 1 else 8)]
+    items = [(k, rng.choices(vocab, k=rng.randint(20, 40))) for k in range(40 if copies == 1 else 8)]
     rows = []
     for k, p in items:  # every fourth word, or a quarter of the words at random
         edited = [f"x{at}" if (at % 4 == 3 if k % 2 else rng.random() < 0.25) else w for at, w in enumerate(p)]
@@ -449,6 +449,37 @@ def test_passages_apart_by_insertions_and_side_by_side():
     assert got[1] == [(0, 1.0, 24, 83), (0, 1.0, 83, 142), (0, 1.0, 166, 225)]
 
 
+def test_every_alignment_at_the_threshold_has_a_seed():
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(400)]
+    texts = [rng.choices(vocab, k=n) for n in (3, 4, 5, 6, 7, 12, 25, 40, 59, 70)]
+    items = decontaminate.Items(list(range(len(texts))), [" ".join(t) for t in texts])
+    edits = [
+        lambda p: [w if at % 3 < 2 else "x" for at, w in enumerate(p)],
+        lambda p: [w for at, w in enumerate(p) if at % 3 < 2],
+        lambda p: [x for w in p for x in (w, "x")][:-1],
+        lambda p: [x for at, w in enumerate(p) for x in ((w, "x", "y") if at % 2 else (w,))],
+        lambda p: [x for w in p for x in rng.choice([(w,), (w,), (w, "x"), ("x",), ()])],
+    ]
+    docs, want = [], set()
+    for _ in range(8):
+        for k, p in enumerate(texts):
+            for edit in edits:
+                docs.append(" ".join(["a", "b", *edit(p), "c", "d"]))
+    hashed = decontaminate.hash_words(pa.array(docs), decontaminate.PUNCT_BYTES)
+    for d in range(len(docs)):
+        want |= {(d, k) for k, w in enumerate(items.words) if decontaminate.align(w, hashed.of(d))[0] >= min(len(w), 2 * decontaminate.LONG)}
+    assert len(want) > 200
+    assert {(d, span[0]) for d, found in enumerate(items.leaks(pa.array(docs))) for span in found} == want
+
+
+def test_long_runs_of_longer_items_are_leaks():
+    p = [f"w{k}" for k in range(59)]
+    items = decontaminate.Items([5], [" ".join(p)])
+    got = items.leaks(pa.array([" ".join(["a", *p[:28], "b"]), " ".join(["a", *p[30:49], "b"])]))
+    assert got == [[(0, 28 / 59, 1, 29)], []]
+
+
 # -- 8 -----------------------------------------------------------------------
 
 
