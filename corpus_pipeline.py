@@ -39,20 +39,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at 0.8, the document with the smallest id; rows without id stay."""
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _near_dedup_by_row(spark, docs)
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     gone = found.filter("not kept").select("doc_id").distinct()
-    few = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
-    left = docs.join(few, "doc_id", "left_anti")
-    return _one_row_each(left, found)
+    return _without(docs, gone, "doc_id")
 
 
-def _one_row_each(left: DataFrame, found: DataFrame) -> DataFrame:
-    """Where ids repeat, one row of each; the usual case, no repeats, moves no texts."""
-    twice = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if twice.isEmpty():
-        return left
-    whole = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return whole.unionByName(left.filter("doc_id is null"))
+def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    few = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
+    return docs.join(few, key, "left_anti")
+
+
+def _near_dedup_by_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Where ids repeat, each row counts by its own text: one row of the smallest id stays of each group, and of equal rows without words."""
+    row = "loomtext_row"
+    numbered = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias(row)
+    rows = Staging(spark).put(docs.select("*", numbered))
+    found = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle=5, percent=80)
+    linked = found.filter("doc_id is not null").select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    marks = rows.select(row, F.col("doc_id").cast("long").alias("own_id"), F.md5("text").alias("mark"))
+    wordless = F.col("n_shingles") == 0
+    group = [F.when(~wordless, F.col("component_id")).alias("a"), F.when(wordless, F.col("own_id")).alias("b"), F.when(wordless, F.col("mark")).alias("c")]
+    first = linked.join(marks, row).groupBy(*group).agg(F.min(F.struct("own_id", row)).alias("least")).select(F.col(f"least.{row}").alias(row))
+    gone = rows.filter(F.col(row).isNotNull()).select(row).join(first, row, "left_anti")
+    return _without(rows, gone, row).drop(row)
 
 
 @_shipped

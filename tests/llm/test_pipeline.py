@@ -78,6 +78,15 @@ def test_stages_on_hard_and_empty_rows(spark, hard):
     assert sum(r.doc_id == 12 for r in left) == 0 and sum(r.doc_id == 11 for r in left) == 1 and sum(r.doc_id is None for r in left) == 1
 
 
+def test_repeated_ids_are_decided_by_row(spark, docs):
+    text = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(1, text[0]), (1, text[1]), (2, text[0] + " tail"), (3, text[1]), (0, text[0]), (4, text[2]), (4, text[2]), (5, ""), (5, ""), (5, None), (None, text[0])]
+    df = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], docs.schema)
+    out = pipeline.near_dedup(spark, df, SF)
+    want = [(0, text[0]), (1, text[1]), (4, text[2]), (5, ""), (5, None), (None, text[0])]
+    assert out.columns == COLUMNS and sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, want))
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and all(len(r.ids.split()) == r.n_tokens for r in rows) and len({r.doc_id for r in rows}) == len(rows)
