@@ -5,7 +5,7 @@ occur inside texts: each occurrence there gets an escape mark after its first
 character, and undoing that gives the text back.  Prefix sums of the turns'
 tokens choose the windows: a window takes new turns while they fit the budget
 beside the system turn, which every window repeats, and the newest turns before
-it that fit the history budget.  Repeated turns are context only, so the loss
+it that fit the history budget and leave room for the next turn.  Repeated turns are context only, so the loss
 mask covers each assistant text in exactly one window.
 
 Rows are sorted by conversation and turn and streamed; a task holds one window
@@ -76,7 +76,7 @@ class _State:
 
 
 class Formatter:
-    """Streams sorted turns into windows of at most ``budget`` tokens (one longer turn stays whole)."""
+    """Streams sorted turns into windows of at most ``budget`` tokens (a turn that is longer, alone or with the system turn, stays whole)."""
 
     def __init__(self, budget: int = 1024, history: int = 256):
         self.budget, self.keep = budget, history
@@ -92,7 +92,7 @@ class Formatter:
             turn = (role or "", text or "", tokens(text or ""))
             if state.turns and state.upto + turn[2] - state.start + self._fixed(state) > self.budget:
                 yield self._close(state)
-                self._open(state)
+                self._open(state, turn[2])
             state.turns.append(turn)
             state.upto += turn[2]  # prefix sum over the conversation
         if state is not None:
@@ -101,13 +101,14 @@ class Formatter:
     def _fixed(self, s: _State) -> int:
         return (s.system[2] if s.system and s.window else 0) + s.context
 
-    def _open(self, s: _State) -> None:
-        """Keeps the newest turns that fit the history budget and starts the next window."""
+    def _open(self, s: _State, new: int) -> None:
+        """Keeps the newest turns that fit the history budget and leave room for the system turn and ``new`` tokens, and starts the next window."""
         if s.window == 0 and s.turns and s.turns[0][0] == "system":
             s.system = s.turns.pop(0)
+        room = min(self.keep, self.budget - new - (s.system[2] if s.system else 0))
         kept, size = [], 0
         for turn in reversed(s.history + s.turns):
-            if size + turn[2] > self.keep:
+            if size + turn[2] > room:
                 break
             kept.append(turn)
             size += turn[2]

@@ -76,6 +76,17 @@ def test_windows_hold_each_turn_once_within_budget():
         assert loss == "".join(t for r, t in turns if r == "assistant")
 
 
+def test_history_leaves_room_for_the_next_turn():
+    rng = random.Random(10)
+    for _ in range(200):
+        turns = [("system", "be kind")] * rng.randint(0, 1) + [(rng.choice(["user", "assistant"]), " ".join(["w"] * rng.choice([5, 20, 85, 93, 120]))) for _ in range(rng.randint(1, 30))]
+        out = list(chat.Formatter(100, 30).windows((7, r, t) for r, t in turns))
+        assert [x for w in out for x in chat.read_turns(w[5])[w[2] :]] == turns
+        for w in out:
+            least = chat.tokens(chat.read_turns(w[5])[-1][1]) + (6 if turns[0][0] == "system" and w[1] else 0)
+            assert w[4] <= 100 or w[3] == 1 and w[4] == least
+
+
 def test_chat_query_against_plain_python(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
