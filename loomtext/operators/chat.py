@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from loomtext.functions import chatpage
 from loomtext.functions import text as T
-from loomtext.operators.split import _fold, weigh
+from loomtext.operators.split import by_weight
 
 
 def extract_messages(pages: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -54,4 +54,9 @@ def cut_by_words(messages: DataFrame, limit: int) -> DataFrame:
     still empty: a first message above the limit leaves part 1 without rows,
     which the writer creates all the same.
     """
-    return _fold(messages, weigh(messages, T.count_words("text")), lambda total, held, w, flag: total + w > limit)
+    return by_weight(messages, T.count_words("text"), limit, lone=True)
+
+
+def count_parts(parts: DataFrame) -> DataFrame:
+    """(file, parts): how many parts each export has, an empty first one included."""
+    return parts.groupBy("file").agg(F.max("part_no").alias("parts"))

@@ -10,7 +10,7 @@ from loomtext.functions import text as T
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
-    """(file, line_no, line) of (file, content); line_no from 0, terminators kept, empty files have no rows."""
+    """(file, line_no, line) of (file, content); line_no from 0, terminators kept, empty and null files have no rows."""
     return files.select("file", F.posexplode(T.split_lines("content")).alias("line_no", "line")).select("file", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
@@ -18,15 +18,20 @@ def join_files(pieces: DataFrame) -> DataFrame:
     """(file, line_no, line) of (file, seq, content): the pieces of a file one after the other, each ended by a newline.
 
     Line numbers come from prefix sums over pieces, not lines, so a file of
-    many pieces sorts one narrow row for each of them.
+    many pieces sorts one narrow row for each of them.  A null file is a file
+    of its own, a null seq comes first, null contents have no lines.  Pieces
+    with one file and seq share a place: their lines count from the same number
+    and the next piece begins after the longest.
     """
-    rows = pieces.select("file", "seq", T.split_lines(F.concat("content", F.lit("\n"))).alias("lines"))
-    before = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = pieces.select("file", "seq", F.size(T.split_lines(F.concat("content", F.lit("\n")))).cast("long").alias("n"))
-    starts = sizes.select("file", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return rows.join(starts, ["file", "seq"]).select("file", "start", F.posexplode("lines").alias("at", "line")).select("file", (F.col("start") + F.col("at")).alias("line_no"), "line")
+    ended = F.concat("content", F.lit("\n"))
+    sizes = pieces.filter("content is not null").groupBy(F.col("file").alias("f"), F.col("seq").alias("s")).agg(F.max(F.size(T.split_lines(ended))).cast("long").alias("n"))
+    before = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("f", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = pieces.join(starts, pieces["file"].eqNullSafe(starts["f"]) & pieces["seq"].eqNullSafe(starts["s"]))
+    lines = placed.select(pieces["file"], starts["start"], F.posexplode(T.split_lines(F.concat(pieces["content"], F.lit("\n")))).alias("at", "line"))
+    return lines.select("file", (F.col("start") + F.col("at")).alias("line_no"), "line")
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
-    """``lines`` with n_words, n_bytes and blank."""
-    return lines.select("*", T.count_words("line").alias("n_words"), T.count_bytes("line").alias("n_bytes"), T.is_blank("line").alias("blank"))
+    """``lines`` with n_words, n_bytes and blank; a null line has no words and is not known to be blank."""
+    return lines.withColumns({"n_words": T.count_words("line"), "n_bytes": T.count_bytes("line"), "blank": T.is_blank("line")})

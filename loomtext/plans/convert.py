@@ -23,7 +23,7 @@ def split_path(spark: SparkSession, path: str, folder: str, method: str, value,
     Malformed UTF-8 raises; an empty file gives no parts.
     """
     lines = files.read_lines(spark, path)
-    if method == "words" and delimiters:
+    if method == "words":
         parts = split.by_words_at_delimiters(lines, value, delimiters)
     else:
         parts = split.METHODS[method](lines, value)
@@ -31,21 +31,29 @@ def split_path(spark: SparkSession, path: str, folder: str, method: str, value,
     return parts
 
 
-def convert_json(spark: SparkSession, path: str, folder: str) -> None:
-    """String leaves of each document, one a line, no newline at the end."""
-    found = files.read_json_documents(spark, path).select(T.text_name("name").alias("name"), F.array_join(json_leaves("content"), "\n").alias("line"))
-    write_parts(found.withColumn("line_no", F.lit(0)), folder)
+def _named(found: DataFrame, source: str, name: str | None) -> DataFrame:
+    """``found`` with its target's name: that of the source file with ``.txt``, or ``name`` for one source only."""
+    if name is None:
+        return found.withColumn("name", T.text_name(source))
+    if found.select(source).limit(2).count() > 1:
+        raise ValueError(f"{name} can hold one document only")
+    return found.withColumn("name", F.lit(name))
 
 
-def convert_epub(spark: SparkSession, path: str, folder: str) -> None:
-    """The text of each book, named after it."""
-    books = files.read_bytes(spark, path)
-    found = epub.to_documents(books).select(T.text_name(T.base_name("file")).alias("name"), F.lit(0).alias("line_no"), F.col("content").alias("line"))
-    write_parts(found, folder)
+def convert_json(spark: SparkSession, path: str, folder: str, name: str | None = None) -> None:
+    """String leaves of each document, one a line, no newline at the end; ``name``: the text file of a single one."""
+    found = _named(files.read_json_documents(spark, path), "name", name)
+    write_parts(found.select("name", F.lit(0).alias("line_no"), F.array_join(json_leaves("content"), "\n").alias("line")), folder)
 
 
-def convert_chat(spark: SparkSession, path: str, folder: str, limit: int = DEFAULT_WORDS, base: str = "chat_part") -> None:
-    """An export's messages as ``{base}_{n}.txt``; part 1 is there even if it is empty."""
+def convert_epub(spark: SparkSession, path: str, folder: str, name: str | None = None) -> None:
+    """The text of each book, named after it; ``name``: the text file of a single one."""
+    books = _named(files.read_bytes(spark, path).withColumn("book", F.col("name")), "book", name).select(F.col("name").alias("file"), "content")
+    write_parts(epub.to_documents(books).select(F.col("file").alias("name"), F.lit(0).alias("line_no"), F.col("content").alias("line")), folder)
+
+
+def convert_chat(spark: SparkSession, path: str, folder: str, limit: int = DEFAULT_WORDS, base: str = "chat_part") -> int:
+    """An export's messages as ``{base}_{n}.txt``; part 1 is there even if it is empty.  Returns how many parts there are."""
     pages = files.read_chat_files(spark, path).withColumn("export", F.lit(os.path.normpath(path)))
     found = chat.order_export(chat.extract_messages(pages, ("export", "name", "file_no"))).withColumn("file", F.col("export"))
     parts = chat.transcript(chat.cut_by_words(found, limit))
@@ -53,3 +61,4 @@ def convert_chat(spark: SparkSession, path: str, folder: str, limit: int = DEFAU
     first = spark.sql(f"select '{base}_1.txt' as name, -1L as line_no, cast(null as string) as line")
     lone = first.join(named, "name", "left_anti")
     write_parts(named.union(lone), folder, BOM)
+    return max((r.parts for r in chat.count_parts(parts).collect()), default=1)  # one row: a path is one export

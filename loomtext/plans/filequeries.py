@@ -6,9 +6,12 @@ temporary one, which only a local session may use.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from loomtext.functions import text as T
 from loomtext.plans import convert
 from loomtext.sources import files
 from loomtext.sources.parts import write_parts
+from loomtext.sources.tables import read_table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -34,7 +38,7 @@ def _put(df: DataFrame, folder: str, name: Column, content: Column) -> None:
 
 def _document_files(spark: SparkSession, sf_dir: str) -> str:
     folder = _folder(spark)
-    _put(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{folder}/in", F.concat(F.lit("d"), "doc_id", F.lit(".txt")), F.col("text"))
+    _put(read_table(spark, sf_dir, "documents"), f"{folder}/in", F.concat(F.lit("d"), "doc_id", F.lit(".txt")), F.col("text"))
     return folder
 
 
@@ -54,7 +58,7 @@ def part_files(spark, sf_dir):
 def json_files(spark, sf_dir):
     folder = _folder(spark)
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(turns.alias("turns"))
+    docs = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
     _put(docs, f"{folder}/in", F.concat(F.lit("c"), "conv_id", F.lit(".v1.json")), F.to_json(F.struct("turns")))
     convert.convert_json(spark, f"{folder}/in", f"{folder}/out")
     return files.read_text(spark, f"{folder}/out").select("name", F.md5("content").alias("content_md5"))
@@ -69,7 +73,7 @@ def message_block() -> Column:
 def chat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, content): a page for each conversation."""
     blocks = F.transform(F.sort_array(F.collect_list(F.struct("turn", message_block().alias("b")))), lambda x: x["b"])
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_join(blocks, "\n").alias("content"))
+    return read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(blocks, "\n").alias("content"))
 
 
 def chat_export(spark, sf_dir):
@@ -78,3 +82,21 @@ def chat_export(spark, sf_dir):
     _put(chat_pages(spark, sf_dir), f"{folder}/in", F.concat(F.lit("messages"), "conv_id", F.lit(".html")), F.col("content"))
     convert.convert_chat(spark, f"{folder}/in", f"{folder}/out", 500)
     return files.read_text(spark, f"{folder}/out").select("name", F.md5("content").alias("content_md5"))
+
+
+def epub_files(spark: SparkSession, books: DataFrame) -> DataFrame:
+    """Books (name, content BINARY) written as files, converted, and the texts read back."""
+    folder = _folder(spark)
+    os.makedirs(f"{folder}/in")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                with open(tmp := f"{folder}/in/.{uuid.uuid4().hex}", "wb") as f:
+                    f.write(content)
+                os.replace(tmp, f"{folder}/in/{name}")
+            yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
+
+    books.select("name", "content").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
+    convert.convert_epub(spark, f"{folder}/in", f"{folder}/out")
+    return files.read_text(spark, f"{folder}/out").select("name", F.md5("content").alias("content_md5"))

@@ -6,7 +6,9 @@ source, by doc_id, are one (their lines joined by newlines).
 
 from __future__ import annotations
 
+import argparse
 import io
+import re
 import zipfile
 from collections.abc import Callable
 
@@ -14,28 +16,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types
+from pyspark.sql.window import Window
 
 from loomtext.functions import markup
 from loomtext.functions import text as T
 from loomtext.functions.jsontext import json_leaves
 from loomtext.operators import chat, split
 from loomtext.operators.lines import explode_lines, join_files, line_statistics
-from loomtext.plans import filequeries
+from loomtext.plans import cli, filequeries
 from loomtext.sources import epub
+from loomtext.sources.tables import read_spread
+from loomtext.sources.tables import read_table as _table
 
 DELIMITERS = ["Licensed under", "Released under", "###"]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_lines(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
+    return explode_lines(read_spread(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
 
 
 def _source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_files(_table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("seq"), F.col("text").alias("content")))
+    return join_files(read_spread(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("seq"), F.col("text").alias("content")))
 
 
 def _rolled(parts: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def section_marks(spark, sf_dir):
 
 
 def html_to_text(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", markup.html_to_text("html").alias("text"))
+    return read_spread(spark, sf_dir, "pages").select("page_id", markup.html_to_text("html").alias("text"))
 
 
 def _conversation_json(spark, sf_dir):
@@ -94,30 +95,33 @@ def json_text(spark, sf_dir):
 
 
 def _messages(spark, sf_dir):
-    """All turns of the table as one export of one file."""
-    t = _table(spark, sf_dir, "conversations")
-    sizes = t.groupBy("conv_id").agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
-    starts = sizes.select("conv_id", F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    """All turns of the table as eight exports, each by conversation and turn."""
+    t = _table(spark, sf_dir, "conversations").withColumn("file", F.concat(F.lit("export"), (F.col("conv_id") % 8).cast("string")))
+    sizes = t.groupBy("file", "conv_id").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("conv_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     rows = t.withColumn("at", at).join(starts, "conv_id")
-    return rows.select(F.lit("export").alias("file"), (F.col("start") + F.col("at")).cast("long").alias("line_no"), F.lit(None).cast("string").alias("date"), F.col("role").alias("sender"), "text")
+    return rows.select("file", (F.col("start") + F.col("at")).cast("long").alias("line_no"), F.lit(None).cast("string").alias("date"), F.col("role").alias("sender"), "text")
 
 
 def chat_transcript(spark, sf_dir):
-    return chat.transcript(_messages(spark, sf_dir)).select("line_no", "entry")
+    return chat.transcript(_messages(spark, sf_dir)).select("file", "line_no", "entry")
 
 
 def chat_parts(spark, sf_dir):
     parts = chat.cut_by_words(_messages(spark, sf_dir), 500)
-    return parts.groupBy("part_no").agg(F.count("*").alias("n_messages"), F.sum(T.count_words("text")).alias("n_words"), F.min("line_no").alias("first_message"))
+    return parts.groupBy("file", "part_no").agg(F.count("*").alias("n_messages"), F.sum(T.count_words("text")).alias("n_words"), F.min("line_no").alias("first_message"))
 
 
 def chat_parts_tiny(spark, sf_dir):
     """A first message above the limit leaves part 1 empty, so numbers start at 2."""
     parts = chat.cut_by_words(_messages(spark, sf_dir), 3)
-    return parts.groupBy("part_no").agg(F.count("*").alias("n_messages"), F.min("line_no").alias("first_message"))
+    return parts.groupBy("file", "part_no").agg(F.count("*").alias("n_messages"), F.min("line_no").alias("first_message"))
+
+
+def chat_part_count(spark, sf_dir):
+    return chat.count_parts(chat.cut_by_words(_messages(spark, sf_dir), 500))
 
 
 def chat_messages(spark, sf_dir):
@@ -125,18 +129,24 @@ def chat_messages(spark, sf_dir):
     return chat.extract_messages(filequeries.chat_pages(spark, sf_dir), ("conv_id",))
 
 
+def _variant(spark, sf_dir, *variants: str) -> DataFrame:
+    """(page_id, v and more): the v-th of some SQL expressions over page_id as n, one variant for each page in turn."""
+    cases = " ".join(f"when {k} then {v}" for k, v in enumerate(variants))
+    return read_spread(spark, sf_dir, "pages").selectExpr("page_id", "html", "page_id as n").selectExpr("page_id", "n", "html", f"case n % {len(variants)} {cases} end as v")
+
+
 def chat_file_order(spark, sf_dir):
-    names = spark.sql("select explode(array('messages10.html', 'messages2.html', 'messages.html', 'messages_x.html', 'messages007.html', 'old_messages3.html.html')) as name")
-    return names.select("name", T.chat_file_number("name").alias("file_no"))
+    names = _variant(spark, sf_dir, "concat('messages', n, '.html')", "'messages.html'", "concat('messages_x', n, '.html')", "concat('messages00', n, '.html')", "concat('old_messages', n, '.html.html')", "concat('chat', n, '.html')")
+    return names.select("page_id", F.col("v").alias("name"), T.chat_file_number("v").alias("file_no"))
 
 
 def part_names(spark, sf_dir):
-    names = spark.sql("select explode(array('a.txt', 'b.tar.gz', '.profile', 'none', 'x.', '..y.md')) as name")
-    return names.select("name", T.part_name("name", F.lit(7)).alias("part"), T.text_name("name").alias("text"))
+    names = _variant(spark, sf_dir, "concat('a', n, '.txt')", "concat('b', n, '.tar.gz')", "concat('.profile', n)", "concat('none', n)", "concat('x', n, '.')", "concat('..y', n, '.md')")
+    return names.select("page_id", T.part_name("v", F.col("n") % 9).alias("part"), T.text_name("v").alias("text"))
 
 
 def text_functions(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = read_spread(spark, sf_dir, "documents")
     padded = F.concat(F.lit(" \t"), "text", F.lit(" \n"))
     return d.select("doc_id", F.md5(T.collapse(padded)).alias("collapsed"), F.md5(T.clean(padded)).alias("cleaned"), F.md5(T.drop_blank_lines(padded)).alias("kept_lines"), T.count_words(padded).alias("n_words"), F.size(T.split_lines(F.concat("text", F.lit("\r\nx\ry")))).cast("long").alias("n_lines"))
 
@@ -160,33 +170,103 @@ def _pack(page_id: pd.Series, html: pd.Series) -> pd.Series:
 
 def epub_text(spark, sf_dir):
     """Books made of one page and a note each."""
-    books = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), _pack("page_id", "html").alias("content"))
+    books = read_spread(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), _pack("page_id", "html").alias("content"))
     return epub.to_documents(books)
 
 
+def epub_files(spark, sf_dir):
+    """The same books as files, each converted to a text file of its name."""
+    books = read_spread(spark, sf_dir, "pages").select(F.concat(F.lit("b"), "page_id", F.lit(".v1.epub")).alias("name"), _pack("page_id", "html").alias("content"))
+    return filequeries.epub_files(spark, books)
+
+
+#: Manifest items and spine entries drawn from the keys of two tables: repeated ids, gaps of all kinds, foreign references.
+_MANIFEST = """concat('b', p_partkey % 50) as file, p_partkey as pos, case when p_partkey % 17 = 0 then '' when p_partkey % 19 <> 0 then concat('i', p_partkey % 350) end as id,
+  case when p_partkey % 23 = 0 then '' when p_partkey % 29 <> 0 then concat('h', p_partkey) end as href,
+  case p_partkey % 7 when 0 then 'application/XHTML+xml' when 1 then 'image/png' when 2 then 'image/svg+xml' when 3 then 'Text/Plain' when 4 then '' when 5 then 'text/html' end as media_type"""
+_SPINE = """concat('b', l_partkey % 50) as file, l_orderkey * 10 + l_linenumber as pos, case when l_orderkey % 13 = 0 then '' when l_orderkey % 31 <> 0 then concat('i', l_partkey % 350) end as idref,
+  case l_linenumber % 5 when 0 then 'no' when 1 then 'yes' when 2 then 'NO' when 3 then 'maybe' end as linear"""
+
+
 def spine_join(spark, sf_dir):
-    manifest = spark.sql("select * from values ('b', 0, 'a', 'a.xhtml', 'application/XHTML+xml'), ('b', 1, 'c', 'c.svg', 'image/svg+xml'), ('b', 2, 'd', 'd.png', 'image/png'), ('b', 3, 'a', 'a2.xhtml', 'text/html'), ('b', 4, '', 'e.html', 'text/html'), ('b', 5, 'f', '', 'text/html'), ('b', 6, 'h', 'h', ''), ('k', 0, 'a', 'k.html', 'text/html') as m(file, pos, id, href, media_type)")
-    spine = spark.sql("select * from values ('b', 0, 'c', cast(null as string)), ('b', 1, 'a', 'yes'), ('b', 2, 'a', 'NO'), ('b', 3, 'd', 'yes'), ('b', 4, 'zz', 'yes'), ('b', 5, '', 'yes'), ('b', 6, 'h', 'maybe'), ('b', 7, 'a', 'yes'), ('k', 0, 'a', 'yes') as s(file, pos, idref, linear)")
+    manifest = _table(spark, sf_dir, "part").selectExpr(*_fields(_MANIFEST))
+    spine = _table(spark, sf_dir, "lineitem").selectExpr(*_fields(_SPINE))
     return epub.spine_join(spine, manifest)
 
 
+def _fields(sql: str) -> list[str]:
+    """The items of a select list, none of which has ``as`` inside or a comma after a name inside."""
+    return [x.strip() for x in re.split(r"(?<= as file),|(?<= as pos),|(?<= as id),|(?<= as idref),|(?<= as href),", sql)]
+
+
 def member_path(spark, sf_dir):
-    rows = spark.sql("select * from values ('OEBPS/c.opf', '../t/a.xhtml'), ('c.opf', './a.xhtml'), ('OEBPS/c.opf', '/x/y'), ('OEBPS/c.opf', 'a%20b.xhtml'), ('a/b/c.opf', 'd//e#f') as t(package, href)")
-    return rows.select("package", "href", markup.normalise_member("package", "href").alias("member"))
+    rows = _variant(spark, sf_dir, *(f"struct({p} as package, {h} as href)" for p, h, _ in _PATHS)).select("page_id", "v.*")
+    return rows.select("page_id", "package", "href", markup.normalise_member("package", "href").alias("member"))
+
+
+#: Package, reference and the member that is meant.
+_PATHS = (
+    ("concat('OEBPS', n, '/c.opf')", "concat('../t', n, '/a.xhtml')", "concat('t', n, '/a.xhtml')"),
+    ("'c.opf'", "concat('./a', n, '.xhtml')", "concat('a', n, '.xhtml')"),
+    ("'OEBPS/c.opf'", "concat('/x', n, '/y')", "concat('x', n, '/y')"),
+    ("'OEBPS/c.opf'", "concat('a%20', n, '.xhtml')", "concat('OEBPS/a%20', n, '.xhtml')"),
+    ("concat('a/b', n, '/c.opf')", "'d//e#f'", "concat('a/b', n, '/d/e#f')"),
+    ("concat('a/b', n, '/c.opf')", "'../../../z'", "'../z'"),
+    ("concat('a', n, '/c.opf')", "'.'", "concat('a', n)"),
+)
+
+#: What stands before a page, the encoding that is sniffed, and whether it is decoded byte by byte.
+_HEADS = (
+    ('<?xml version="1.0" encoding="ISO-8859-1"?>', "ISO-8859-1", True),
+    ("\ufeff", "utf-8", False),
+    ('<meta charset="x">', "utf-8", False),
+    ("<?xml ENCODING=''x-none''?>", "x-none", False),
+    (f'{" " * 600}encoding="latin-1"', "utf-8", False),
+    ('encoding=latin-1 encoding="Latin-1"', "Latin-1", True),
+)
 
 
 def sniff_encoding(spark, sf_dir):
-    rows = spark.sql("""select * from values (1, cast('<?xml version="1.0" encoding="ISO-8859-1"?>' as binary)), (2, X'EFBBBF78'), (3, cast('<meta charset="x">' as binary)), (4, cast("<?xml ENCODING='utf-16'?>" as binary)), (5, X'') as t(id, payload)""")
-    return rows.select("id", markup.sniff_encoding("payload").alias("encoding"), F.length(markup.decode_bytes("payload")).alias("n_chars"))
+    rows = _variant(spark, sf_dir, *(f"concat({_literal(h)}, html)" for h, *_ in _HEADS)).select("page_id", F.col("v").cast("binary").alias("payload"))
+    return rows.select("page_id", markup.sniff_encoding("payload").alias("encoding"), F.length(markup.decode_bytes("payload")).cast("long").alias("n_chars"))
+
+
+def _literal(head: str) -> str:
+    """A string literal of Spark's SQL; two quotes stand for one."""
+    return "'" + head.replace("''", "\\'") + "'"
+
+
+@F.pandas_udf(types.StructType([types.StructField("method", types.StringType()), types.StructField("value", types.StringType())]))
+def _choose(lines: pd.Series, size: pd.Series, parts: pd.Series, words: pd.Series, delimiter: pd.Series) -> pd.DataFrame:
+    rows = [cli.choose(argparse.Namespace(lines=a, bytes=b, parts=c, words=d, delimiter=[e] if e else None)) for a, b, c, d, e in zip(lines, size, parts, words, delimiter)]
+    return pd.DataFrame([(m, v[0] if isinstance(v, list) else str(int(v))) for m, v in rows], columns=["method", "value"])
+
+
+def option_choice(spark, sf_dir):
+    """The method and value that a command line's options stand for; zero counts as not given."""
+    o = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_linenumber % 3 as a", "l_partkey % 2 as b", "l_suppkey % 2 as c", "l_orderkey % 3 as d", "if(l_partkey % 3 = 0, '--', '') as e")
+    return o.select("l_orderkey", "l_linenumber", _choose("a", "b", "c", "d", "e").alias("o")).select("l_orderkey", "l_linenumber", "o.method", "o.value")
+
+
+def ragged_parts(spark, sf_dir):
+    """Lines with a null file, null line numbers, repeated rows and a part_no of their own, in three ways."""
+    lines = _source_lines(spark, sf_dir)
+    lines = lines.select(F.when(F.col("file") != F.lit("src3"), F.col("file")).alias("file"), F.when(F.col("line_no") != 0, F.col("line_no")).alias("line_no"), "line", F.lit("x").alias("part_no"))
+    lines = lines.union(lines.filter("line_no % 50 = 7"))
+    out = None
+    for name, parts in (("words", split.by_words(lines, 700)), ("parts", split.by_parts(lines, 5)), ("delimiter", split.by_delimiter(lines, DELIMITERS))):
+        one = parts.groupBy("file", "part_no").agg(F.count("*").alias("n_lines"), F.sum(T.count_words("line")).alias("n_words")).withColumn("method", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_query"): f
     for f in (
         split_lines, split_parts, split_bytes, split_words, split_delimiter, split_words_delimited, line_stats, section_marks,
-        html_to_text, json_leaves_query, json_text, chat_transcript, chat_parts, chat_parts_tiny, chat_messages, chat_file_order,
-        part_names, text_functions, epub_text, spine_join, member_path, sniff_encoding,
-        filequeries.file_lines, filequeries.part_files, filequeries.json_files, filequeries.chat_export,
+        html_to_text, json_leaves_query, json_text, chat_transcript, chat_parts, chat_parts_tiny, chat_part_count, chat_messages, chat_file_order,
+        part_names, text_functions, epub_text, spine_join, member_path, sniff_encoding, option_choice, ragged_parts,
+        filequeries.file_lines, filequeries.part_files, filequeries.json_files, filequeries.chat_export, epub_files,
     )
 }
 
@@ -219,13 +299,14 @@ def _fold_sql(weight: str, cut: str, rows: str = "weighted") -> str:
 parts AS (SELECT * FROM walk)"""
 
 
-_MESSAGES = f"""weighted AS MATERIALIZED (SELECT 'export' AS file, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, text AS line, {_WORDS.format('text')} AS words FROM conversations)"""
+_MESSAGES = f"""weighted AS MATERIALIZED (SELECT 'export' || (conv_id % 8) AS file, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS line_no, text AS line, {_WORDS.format('text')} AS words FROM conversations)"""
+_ONE_EXPORT = _MESSAGES.replace("'export' || (conv_id % 8)", "'export'").replace("PARTITION BY conv_id % 8 ", "")
 
 
-def _chat_sql(limit: int) -> str:
+def _chat_sql(limit: int, messages: str = _MESSAGES) -> str:
     first = f"CASE WHEN words > {limit} THEN 2 ELSE 1 END"
     walk = _fold_sql("{0}words", f"s.acc + r.words > {limit}").replace("CAST(1 AS BIGINT) AS part_no", f"CAST({first} AS BIGINT) AS part_no")
-    return f"WITH RECURSIVE {_MESSAGES}, {walk}"
+    return f"WITH RECURSIVE {messages}, {walk}"
 
 
 _SPLIT_AT = "|".join(markup.BLOCKS)
@@ -257,23 +338,41 @@ CAST(sum(({_WORDS.format('line')} = 0)::INT) AS BIGINT) AS n_blank, CAST(max({_W
     "json_leaves": """WITH l AS (SELECT conv_id, turn, unnest([role, text]) AS leaf, unnest([0, 1]) AS k FROM conversations)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS pos, leaf FROM l""",
     "json_text": "SELECT conv_id, string_agg(role || chr(10) || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id",
-    "chat_transcript": """SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, '[?] ' || role || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || repeat('-', 20) || chr(10) AS entry FROM conversations""",
-    "chat_parts": f"{_chat_sql(500)} SELECT p.part_no, CAST(count(*) AS BIGINT) AS n_messages, CAST(sum(w.words) AS BIGINT) AS n_words, min(p.line_no) AS first_message FROM parts p JOIN weighted w USING (line_no) GROUP BY p.part_no",
-    "chat_parts_tiny": f"{_chat_sql(3)} SELECT part_no, CAST(count(*) AS BIGINT) AS n_messages, min(line_no) AS first_message FROM parts GROUP BY part_no",
+    "chat_transcript": """SELECT 'export' || (conv_id % 8) AS file, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS line_no, '[?] ' || role || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || repeat('-', 20) || chr(10) AS entry FROM conversations""",
+    "chat_parts": f"{_chat_sql(500)} SELECT file, p.part_no, CAST(count(*) AS BIGINT) AS n_messages, CAST(sum(w.words) AS BIGINT) AS n_words, min(p.line_no) AS first_message FROM parts p JOIN weighted w USING (file, line_no) GROUP BY file, p.part_no",
+    "chat_parts_tiny": f"{_chat_sql(3)} SELECT file, part_no, CAST(count(*) AS BIGINT) AS n_messages, min(line_no) AS first_message FROM parts GROUP BY file, part_no",
+    "chat_part_count": f"{_chat_sql(500)} SELECT file, max(part_no) AS parts FROM parts GROUP BY file",
     "chat_messages": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg_no, 't' || turn AS date, role AS sender, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations""",
-    "chat_file_order": "SELECT * FROM (VALUES ('messages10.html', 10::BIGINT), ('messages2.html', 2), ('messages.html', 1), ('messages_x.html', 0), ('messages007.html', 7), ('old_messages3.html.html', 3)) t(name, file_no)",
-    "part_names": "SELECT * FROM (VALUES ('a.txt', 'a_part_7.txt', 'a.txt'), ('b.tar.gz', 'b.tar_part_7.gz', 'b.tar.txt'), ('.profile', '.profile_part_7', '.profile.txt'), ('none', 'none_part_7', 'none.txt'), ('x.', 'x_part_7.', 'x.txt'), ('..y.md', '..y_part_7.md', '..y.txt')) t(name, part, text)",
+    "chat_file_order": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'messages' || page_id || '.html' WHEN 1 THEN 'messages.html' WHEN 2 THEN 'messages_x' || page_id || '.html' WHEN 3 THEN 'messages00' || page_id || '.html' WHEN 4 THEN 'old_messages' || page_id || '.html.html' ELSE 'chat' || page_id || '.html' END AS name,
+CASE page_id % 6 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 5 THEN 0 ELSE page_id END AS file_no FROM pages""",
+    "part_names": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a' || page_id || p || '.txt' WHEN 1 THEN 'b' || page_id || '.tar' || p || '.gz' WHEN 2 THEN '.profile' || page_id || p WHEN 3 THEN 'none' || page_id || p WHEN 4 THEN 'x' || page_id || p || '.' ELSE '..y' || page_id || p || '.md' END AS part,
+CASE page_id % 6 WHEN 0 THEN 'a' || page_id WHEN 1 THEN 'b' || page_id || '.tar' WHEN 2 THEN '.profile' || page_id WHEN 3 THEN 'none' || page_id WHEN 4 THEN 'x' || page_id ELSE '..y' || page_id END || '.txt' AS text FROM (SELECT page_id, '_part_' || (page_id % 9) AS p FROM pages)""",
     "text_functions": f"""SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS cleaned,
 md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS kept_lines,
 CAST({_WORDS.format('text')} AS BIGINT) AS n_words, CAST(len(string_split(text, chr(10))) + 2 AS BIGINT) AS n_lines FROM documents""",
     "epub_text": f"WITH {_PAGE_TEXT} SELECT page_id::VARCHAR AS file, array_to_string(ls, chr(10)) || chr(10) || chr(10) || 'note ' || page_id || chr(10) AS content FROM page_texts",
-    "spine_join": "SELECT * FROM (VALUES ('b', 0, 'c', 'c.svg', 'image/svg+xml'), ('b', 1, 'a', 'a2.xhtml', 'text/html'), ('b', 6, 'h', 'h', ''), ('b', 7, 'a', 'a2.xhtml', 'text/html'), ('k', 0, 'a', 'k.html', 'text/html')) t(file, pos, idref, href, media_type)",
-    "member_path": "SELECT * FROM (VALUES ('OEBPS/c.opf', '../t/a.xhtml', 't/a.xhtml'), ('c.opf', './a.xhtml', 'a.xhtml'), ('OEBPS/c.opf', '/x/y', 'x/y'), ('OEBPS/c.opf', 'a%20b.xhtml', 'OEBPS/a%20b.xhtml'), ('a/b/c.opf', 'd//e#f', 'a/b/d/e#f')) t(package, href, member)",
-    "sniff_encoding": "SELECT * FROM (VALUES (1, 'ISO-8859-1', 43), (2, 'utf-8', 2), (3, 'utf-8', 18), (4, 'utf-16', 12), (5, 'utf-8', 0)) t(id, encoding, n_chars)",
+    "spine_join": f"""WITH m AS (SELECT {_MANIFEST} FROM part), s AS (SELECT {_SPINE} FROM lineitem),
+own AS (SELECT *, row_number() OVER (PARTITION BY file, id ORDER BY pos DESC) AS r FROM m WHERE id <> '' AND href <> '')
+SELECT s.file, s.pos, s.idref, own.href, lower(coalesce(own.media_type, '')) AS media_type FROM s JOIN own ON own.file = s.file AND own.id = s.idref AND own.r = 1
+WHERE lower(coalesce(s.linear, 'yes')) <> 'no' AND (coalesce(own.media_type, '') = '' OR regexp_matches(lower(own.media_type), 'html|xml|text'))""",
+    "member_path": "SELECT page_id, " + ", ".join(f"CASE page_id % {len(_PATHS)} " + " ".join(f"WHEN {k} THEN {p[c].replace('n,', 'page_id,').replace(', n)', ', page_id)')}" for k, p in enumerate(_PATHS)) + f" END AS {name}" for c, name in enumerate(("package", "href", "member"))) + " FROM pages",
+    "sniff_encoding": "SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN '{e}'" for k, (_, e, _) in enumerate(_HEADS)) + " END AS encoding, CAST(CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {'strlen' if b else 'length'}('{h}' || html)" for k, (h, _, b) in enumerate(_HEADS)) + " END AS BIGINT) AS n_chars FROM pages",
+    "option_choice": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN 'lines' WHEN l_partkey % 2 <> 0 THEN 'bytes' WHEN l_suppkey % 2 <> 0 THEN 'parts' WHEN l_orderkey % 3 <> 0 THEN 'words' WHEN l_partkey % 3 = 0 THEN 'delimiter' ELSE 'words' END AS method,
+CASE WHEN l_linenumber % 3 <> 0 THEN (l_linenumber % 3)::VARCHAR WHEN l_partkey % 2 <> 0 THEN '1' WHEN l_suppkey % 2 <> 0 THEN '1' WHEN l_orderkey % 3 <> 0 THEN (l_orderkey % 3)::VARCHAR WHEN l_partkey % 3 = 0 THEN '--' ELSE '50000' END AS value FROM lineitem""",
+    "ragged_parts": f"""WITH RECURSIVE {_SOURCE_LINES},
+ragged AS (SELECT CASE WHEN file <> 'src3' THEN file ELSE '~' END AS file, line_no, line, {_WORDS.format('line')} AS words, CASE WHEN line_no % 50 = 7 THEN 2 ELSE 1 END AS times FROM lines),
+weighted AS MATERIALIZED (SELECT file, line_no, '' AS line, words * times AS words FROM ragged), {_fold_sql('{0}words', 's.acc + r.words > 700')},
+{_SECTIONS.replace('FROM lines)', 'FROM ragged)')},
+counted AS (SELECT *, sum(starts::INT) OVER (PARTITION BY file ORDER BY line_no) AS s, bool_or(starts) OVER (PARTITION BY file) AS cut, first_value(starts) OVER (PARTITION BY file ORDER BY line_no) AS head, max(line_no) OVER (PARTITION BY file) + 1 AS n FROM marked),
+numbered AS (SELECT 'words' AS method, p.file, p.part_no, r.words, r.times FROM parts p JOIN ragged r USING (file, line_no)
+  UNION ALL SELECT 'parts', file, line_no // ((n + 4) // 5) + 1, words, times FROM counted
+  UNION ALL SELECT 'delimiter', file, CASE WHEN NOT cut THEN 1 WHEN head THEN s WHEN s = 0 THEN 0 ELSE s + 1 END, words, times FROM counted)
+SELECT method, nullif(file, '~') AS file, CAST(part_no AS BIGINT) AS part_no, CAST(sum(times) AS BIGINT) AS n_lines, CAST(sum(words * times) AS BIGINT) AS n_words FROM numbered GROUP BY ALL""",
+    "epub_files": f"WITH {_PAGE_TEXT} SELECT 'b' || page_id || '.v1.txt' AS name, md5(array_to_string(ls, chr(10)) || chr(10) || chr(10) || 'note ' || page_id || chr(10)) AS content_md5 FROM page_texts",
     "file_lines": f"WITH {_DOC_LINES} SELECT 'd' || file || '.txt' AS name, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes, max(line_no) AS last_line FROM lines GROUP BY file",
     "part_files": f"""WITH {_DOC_LINES} SELECT 'd' || file || '_part_' || (line_no // 5 + 1) || '.txt' AS name, md5(string_agg(line, '' ORDER BY line_no)) AS content_md5 FROM lines GROUP BY file, line_no // 5""",
     "json_files": "SELECT 'c' || conv_id || '.v1.txt' AS name, md5(string_agg(role || chr(10) || text, chr(10) ORDER BY turn)) AS content_md5 FROM conversations GROUP BY conv_id",
-    "chat_export": f"""{_chat_sql(500)}, entries AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no,
+    "chat_export": f"""{_chat_sql(500, _ONE_EXPORT)}, entries AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no,
   '[t' || turn || '] ' || role || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || repeat('-', 20) || chr(10) AS entry FROM conversations)
 SELECT 'chat_part_' || part_no || '.txt' AS name, md5(chr(65279) || string_agg(entry, '' ORDER BY line_no)) AS content_md5 FROM parts JOIN entries USING (line_no) GROUP BY part_no""",
 }

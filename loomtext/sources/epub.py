@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -52,23 +51,6 @@ def package(archive: zipfile.ZipFile) -> tuple[str, list[tuple[str, str, str]],
     return path, items, [(i.get("idref"), i.get("linear")) for i in parts["itemref"]]
 
 
-def read_packages(archives: DataFrame) -> DataFrame:
-    """(file, package, manifest ARRAY<STRUCT>, spine ARRAY<STRUCT>) of (file, content BINARY) archives."""
-    item = pa.struct([("id", pa.string()), ("href", pa.string()), ("media_type", pa.string())])
-    ref = pa.struct([("idref", pa.string()), ("linear", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, raw in zip(b.column("file").to_pylist(), b.column("content").to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-                    path, items, refs = package(archive)
-                manifest = [dict(zip(("id", "href", "media_type"), i)) for i in items]
-                spine = [dict(zip(("idref", "linear"), r)) for r in refs]
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([path]), pa.array([manifest], pa.list_(item)), pa.array([spine], pa.list_(ref))], ["file", "package", "manifest", "spine"])
-
-    return archives.select("file", "content").mapInArrow(run, "file string, package string, manifest array<struct<id:string,href:string,media_type:string>>, spine array<struct<idref:string,linear:string>>")
-
-
 def spine_join(spine: DataFrame, manifest: DataFrame) -> DataFrame:
     """(file, pos, idref, href, media_type) of the spine entries that are read.
 
@@ -87,39 +69,46 @@ def spine_join(spine: DataFrame, manifest: DataFrame) -> DataFrame:
     return spine.filter(linear & some("idref")).select("file", "pos", "idref").join(items, ["file", "idref"]).filter(textual).select("file", "pos", "idref", "href", "media_type")
 
 
+def reading_order(items: list[tuple[str, str, str]], refs: list[tuple[str, str | None]]) -> Iterator[tuple[int, str, str]]:
+    """(pos, href, media type) of the spine entries that are read, by the rules of ``spine_join``."""
+    own = {i: (href, kind) for i, href, kind in items if i and href}
+    for pos, (ref, linear) in enumerate(refs):
+        href, kind = own.get(ref, (None, ""))
+        if ref and href and (linear or "yes").lower() != "no" and (not kind or any(t in kind for t in TEXTUAL)):
+            yield pos, href, kind
+
+
 def read_sections(archives: DataFrame) -> DataFrame:
-    """(file, pos, text) of the non-empty sections in reading order.
+    """(file, pos, text) of the non-empty sections of (file, content BINARY) archives, in reading order.
 
-    The spine join runs as DataFrame operations over packages; the members that
-    it asks for are read from each archive in one pass.  Members that are
-    missing are skipped.
+    Each archive is opened once, where it lies: its package says what to read,
+    and only those members are unpacked.  Members that are missing are skipped;
+    a null archive has no sections.
     """
-    packages = read_packages(archives)
-    spine = packages.select("file", F.posexplode("spine").alias("pos", "s")).select("file", "pos", "s.*")
-    manifest = packages.select("file", F.posexplode("manifest").alias("pos", "m")).select("file", "pos", "m.*")
-    wanted = spine_join(spine, manifest).join(packages.select("file", "package"), "file")
-    wanted = wanted.withColumn("member", markup.normalise_member("package", "href"))
-    asked = wanted.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "member", "media_type"))).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, raw, refs in zip(*(b.column(c).to_pylist() for c in ("file", "content", "asked"))):
-                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-                    rows = list(_texts(archive, refs))
+            for k in range(b.num_rows):
+                raw = b.column("content")[k].as_buffer()
+                rows = list(sections(raw)) if raw is not None else []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], ["file", "pos", "text"])
-
-    return archives.select("file", "content").join(asked, "file").mapInArrow(run, "file string, pos int, text string")
-
-
-def _texts(archive: zipfile.ZipFile, refs: list[dict]) -> Iterator[tuple[int, str]]:
-    known = set(archive.namelist())
-    for r in refs:
-        if r["member"] in known:
-            text = markup.decode(archive.read(r["member"]))
-            text = (text if r["media_type"] == "text/plain" else markup.to_text(text)).strip()
-            if text:
-                yield r["pos"], text
+                    yield pa.RecordBatch.from_arrays([b.column("file").take(pa.array([k] * len(rows))), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], ["file", "pos", "text"])
+
+    kind = archives.schema["file"].dataType.simpleString()
+    return archives.select("file", "content").mapInArrow(run, f"file {kind}, pos int, text string")
+
+
+def sections(raw: pa.Buffer | bytes) -> Iterator[tuple[int, str]]:
+    """(pos, text) of one archive's non-empty sections."""
+    with zipfile.ZipFile(pa.BufferReader(raw)) as archive:
+        path, items, refs = package(archive)
+        known = set(archive.namelist())
+        for pos, href, kind in reading_order(items, refs):
+            if (member := markup.member_path(path, href)) in known:
+                text = markup.decode(archive.read(member))
+                text = (text if kind == "text/plain" else markup.to_text(text)).strip()
+                if text:
+                    yield pos, text
 
 
 def to_documents(archives: DataFrame, strict: bool = True) -> DataFrame:

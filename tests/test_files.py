@@ -102,3 +102,30 @@ def test_stream_splits_each_file_once(spark, tmp_path):
     (src / "b.txt").write_text("9")
     split_arrivals(spark, str(src), str(out), "lines", 2, str(ck)).awaitTermination(120)
     assert tree(out) == {"a_part_1.txt": "seen", "a_part_2.txt": "3\n", "b_part_1.txt": "9"}
+
+
+def test_settings_and_output_files(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "a.txt").write_text("h\n## 1\nx y\n## 2\nz\n")
+    (tmp_path / "set.json").write_text('{"input": "%s", "output_dir": "%s", "method": "delimiter", "delimiters": "##"}' % (tmp_path / "a.txt", tmp_path / "s"))
+    assert cli.main(["split", "--settings", str(tmp_path / "set.json")]) == 0
+    assert tree(tmp_path / "s") == {"a_part_0.txt": "h\n", "a_part_2.txt": "## 1\nx y\n", "a_part_3.txt": "## 2\nz\n"}
+    assert cli.main(["split", str(tmp_path / "a.txt"), "-o", str(tmp_path / "w"), "-w", "3", "--settings", str(tmp_path / "set.json")]) == 0
+    assert tree(tmp_path / "w") == {"a_part_1.txt": "h\n## 1\nx y\n", "a_part_2.txt": "## 2\nz\n"}
+    (tmp_path / "bad.json").write_text('{"metod": "words"}')
+    assert cli.main(["split"]) == 1 and cli.main(["split", "--settings", str(tmp_path / "bad.json")]) == 1
+    assert "no input path" in (err := capsys.readouterr().err) and "metod" in err
+    (tmp_path / "d.json").write_text('["x", {"k": "y"}]')
+    assert cli.main(["json", str(tmp_path / "d.json"), str(tmp_path / "o/leaves")]) == 0
+    assert (tmp_path / "o/leaves").read_text() == "x\ny"
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books/b.epub").write_bytes(_epub(4, "<p>one</p>"))
+    assert cli.main(["epub", str(tmp_path / "books/b.epub")]) == 0 and (tmp_path / "books/b.txt").read_text() == "one\n\nnote 4\n"
+    assert cli.main(["epub", str(tmp_path / "books/b.epub"), "-o", str(tmp_path / "o/own.txt")]) == 0 and (tmp_path / "o/own.txt").read_text() == "one\n\nnote 4\n"
+    (tmp_path / "two").mkdir()
+    for n in "ab":
+        (tmp_path / f"two/{n}.json").write_text('"s"')
+    assert cli.main(["json", str(tmp_path / "two"), str(tmp_path / "o/x")]) == 1
+    (tmp_path / "chat").mkdir()
+    (tmp_path / "chat/messages.html").write_text('<div class="message"><div class="body"><div class="text">a b c</div></div></div>' * 3)
+    assert cli.main(["chat", str(tmp_path / "chat"), "-o", str(tmp_path / "c"), "-w", "3", "--base", "p"]) == 0
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["p_1.txt", "p_2.txt", "p_3.txt"] and "3 parts" in capsys.readouterr().out

@@ -92,6 +92,29 @@ def test_pieces_make_one_file(spark):
     assert rows == [("a", 0, "1\n"), ("a", 1, "2\n"), ("a", 2, "x\n"), ("a", 3, "y\n"), ("b", 0, "\n")]
 
 
+def test_nulls_repeats_and_clashing_names(spark):
+    rows = [("a", 0, "x y\n"), ("a", 0, "x y\n"), ("a", 1, "--\n"), (None, 0, "p\n"), (None, None, "q\n"), ("b", 3, None), ("a", None, "z\n"), ("b", 900, "-- t\n"), ("b", 10**12, "u\n")]
+    df = spark.createDataFrame([(*r, "own", 7, True) for r in rows], "file string, line_no long, line string, part_no string, f int, starts boolean")
+    want = {
+        "words": {("a", 0): 1, ("a", 1): 2, (None, 0): 1, ("b", 3): 1, ("b", 900): 1, ("b", 10**12): 1},
+        "parts": {("a", 0): 1, ("a", 1): 2, (None, 0): 1, ("b", 3): 1, ("b", 900): 1, ("b", 10**12): 2},
+        "bytes": {("a", 0): 1, ("a", 1): 2, (None, 0): 1, ("b", 3): 1, ("b", 900): 2, ("b", 10**12): 3},
+        "delimiter": {("a", 0): 0, ("a", 1): 2, (None, 0): 1, ("b", 3): 0, ("b", 900): 2, ("b", 10**12): 2},
+        "at": {("a", 0): 1, ("a", 1): 2, (None, 0): 1, ("b", 3): 1, ("b", 900): 1, ("b", 10**12): 1},
+    }
+    for name, got in (("words", split.by_words(df, 3)), ("parts", split.by_parts(df, 2)), ("bytes", split.by_bytes(df, 1)), ("delimiter", split.by_delimiter(df, "--")), ("at", split.by_words_at_delimiters(df, 2, ["--"]))):
+        assert got.columns == ["file", "line_no", "line", "f", "starts", "part_no"]
+        out = got.collect()
+        assert len(out) == len(rows)
+        assert {(r.file, r.line_no or 0): r.part_no for r in out} == want[name], name
+    marked = split.mark_sections(df, ["--"]).collect()
+    assert len(marked) == len(rows) and {(r.file, r.line_no) for r in marked if r.starts} == {("a", 1), ("b", 900)}
+    assert split.by_lines(df, 1).count() == len(rows) and split.by_words(df.limit(0), 2).count() == 0
+    pieces = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y\nz"), ("a", 2, "t"), (None, 1, "n"), ("a", None, "first"), ("a", 0, None)], "file string, seq int, content string")
+    got = sorted((str(r.file), r.line_no, r.line) for r in join_files(pieces).collect())
+    assert got == [("None", 0, "n\n"), ("a", 0, "first\n"), ("a", 1, "x\n"), ("a", 1, "y\n"), ("a", 2, "z\n"), ("a", 3, "t\n")]
+
+
 def test_white_space_is_pythons(spark):
     chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and c]
     df = spark.createDataFrame([(c, f"a{c}b") for c in chars], "c string, s string")
