@@ -37,6 +37,12 @@ def split_lines(text: Column | str) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def count_newlines(text: Column | str) -> Column:
+    r"""Line ends of any kind, without cutting the text."""
+    plain = normalise_newlines(text)
+    return (F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit("\n"), F.lit("")))).cast("long")
+
+
 def count_words(text: Column | str) -> Column:
     """Maximal runs of characters that are not white space."""
     return F.coalesce(F.size(F.regexp_extract_all(_col(text), F.lit(f"[{OTHER}]+"), F.lit(0))), F.lit(0)).cast("long")

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from loomtext.functions import text as T
 
-#: Lines of a block, the unit in which parts are joined to lines.
+#: Lines of a block, the unit in which parts are joined to lines; a power of two.
 BLOCK = 64
 
 
@@ -39,7 +39,7 @@ def _place(line_no: Column | str = "line_no") -> Column:
 
 
 def _block(place: Column) -> Column:
-    return F.floor(place / BLOCK)
+    return F.shiftright(place, BLOCK.bit_length() - 1)
 
 
 def _adding(lines: DataFrame, name: str, value: Column) -> list[Column]:
