@@ -11,42 +11,68 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.sources.tables import read_spread, read_table
+
 #: Bytes of text that a Python worker holds decoded or hashed at a time (a single longer text is taken whole).
 PIECE = 2 << 20
+#: Tables of whole texts, which a single file would leave to one core.
+SPREAD = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return (read_spread if name in SPREAD else read_table)(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none."""
+    """The cluster's checkpoint folder; a local session that names none gets a temporary one, any other is refused."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomtext-"))
     return sc.getCheckpointDir()
 
 
 class Staging:
-    """Intermediate tables in the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate tables in the shared folder: they cut lineage and survive lost executors.
+
+    Tables that nothing reads any more are dropped at once; those that a
+    returned DataFrame reads go when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}", 0
+        self.there: set[str] = set()
+
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if self.n == 1:
+            root, files = self._at(self.root)
+            files.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
+        self.there.add(path)
         return out
 
     def drop(self, *staged: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in staged:
-            path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._staged_at)
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        for path in self.there - {df._staged_at for df in kept}:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at, files = self._at(path)
+        files.delete(at, True)
+        self.there.discard(path)
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:

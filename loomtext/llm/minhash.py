@@ -37,8 +37,12 @@ from loomtext.llm.textvec import hash_words, mix, shingle_set
 SMALL = 8
 #: Bits of a set's bitmap.
 BITS = 2048
-#: Candidate ids up to this many are broadcast (16 MB); beyond, a shuffled semi-join is used.
+#: Candidate ids, hashed to 8 bytes, up to this many are broadcast (16 MB); beyond, a shuffled semi-join is used.
 BROADCAST_IDS = 1_000_000
+#: Groups of equal texts that may count as large: these are broadcast, all others have fewer rows than the total over this.
+LARGE_GROUPS = 100_000
+#: Texts that share a prefix shingle are met in cells of about this many a side.
+CELL = 1024
 
 
 class MinMax:
@@ -96,13 +100,15 @@ def _features(n: int, minmax: MinMax):
 def _sets(n: int):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         words = hash_words(piece.column("text"))
-        sets = [shingle_set(words.of(d), n).view(np.int64) for d in range(piece.num_rows)]
+        sets = [shingle_set(words.of(d), n) for d in range(piece.num_rows)]
+        d1, d2 = (pa.array(np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for f in (lambda s: s, mix))
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
         marks = np.zeros((len(sets), BITS), bool)
         for row, s in zip(marks, sets):
-            row[s & (BITS - 1)] = True
+            row[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
         bits = pa.array(list(np.packbits(marks, axis=1).view(np.int64)), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets))), bits], ["node", "set", "bits"])
+        flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+        return pa.RecordBatch.from_arrays([d1, d2, flat, bits], ["d1", "d2", "set", "bits"])
 
     return map_pieces(run)
 
@@ -135,57 +141,103 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     by_node = Window.partitionBy("node")
     kept = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
     known = tokens.join(often, "t").withColumn("r", F.row_number().over(by_node.orderBy("df", "t"))).withColumn("most", F.col("n") - F.count(F.when(F.col("lo") == F.col("hi"), 1)).over(by_node))
-    heads = known.filter((F.col("r") <= kept) & (F.col("lo") != F.col("hi")) & (100 * F.col("most") >= percent * F.col("n"))).select("t", "node", "n", "label", "most")
-    heads = heads.join(sets.select("node", "bits"), "node")
-    other = heads.select("t", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "most", "bits")))
+    heads = known.filter((F.col("r") <= kept) & (F.col("lo") != F.col("hi")) & (100 * F.col("most") >= percent * F.col("n"))).select("t", "node", "n", "label", "most", F.ceil(F.col("df") / CELL).alias("cells"))
+    # a frequent shingle's texts are dealt to cells; each pair meets in the cell of its two sides
+    heads = heads.join(sets.select("node", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "cells"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    other = heads.select("t", every.alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "most", "bits")))
+    heads = heads.select("t", F.col("own").alias("i"), every.alias("j"), "node", "n", "label", "most", "bits")
+
     def lacks(x: str, y: str) -> str:
         return " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(BITS // 64))
 
     # common / (n + n2 - common) >= percent / 100, for the most that can be common
     enough = lambda common: F.expr(f"{100 + percent} * ({common}) >= {percent} * (n + n2)")
     possible = enough("least(most, most2)") & enough(f"n - ({lacks('bits', 'bits2')})") & enough(f"n2 - ({lacks('bits2', 'bits')})")
-    return heads.join(other, (heads["t"] == other["t"]) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & possible).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    return heads.join(other, (heads["t"] == other["t"]) & (heads["i"] == other["i"]) & (heads["j"] == other["j"]) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & possible).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id of any ordered type, text; other columns are ignored).
 
     Empty or null texts have no shingles and are linked with nothing.  Rows
-    that share a doc_id count as one document.  A row without doc_id is linked
-    with nothing: component_id is null and kept is true.  Ties cannot occur:
-    the smallest doc_id of a component stays.
+    that share a doc_id are one document, linked by each of its texts; n_shingles
+    is the row's own.  A row without doc_id is linked with nothing: component_id
+    is null and kept is true.  Ties cannot occur: the smallest doc_id of a
+    component stays.
     """
-    spark = docs.sparkSession
-    staging = Staging(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = staging.put(slim.mapInArrow(_features(shingle, MinMax(bands, rows)), "doc_id long, n long, d1 long, d2 long, keys array<long>"))
+    staging = Staging(docs.sparkSession)
+    slim = docs.select("doc_id", "text")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    feats = staging.put(slim.mapInArrow(_features(shingle, MinMax(bands, rows)), f"doc_id {kind}, n long, d1 long, d2 long, keys array<long>"))
     some = feats.filter("n > 0 and doc_id is not null")
-    nodes = staging.put(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    sets_of = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = staging.put(sets_of.withColumn("node", F.monotonically_increasing_id()))
+    narrow = staging.put(feats.select("doc_id", "n", "d1", "d2"))
+    staging.drop(feats)
 
     flat = nodes.select(F.explode("keys").alias("key"), "node", "n")
     drawn = F.xxhash64("node", "key")
     stats = flat.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), drawn).alias("centre")).filter("c > 1")
     members = staging.put(flat.join(stats, "key").select("key", "c", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")))
+    own = staging.put(_several_texts(narrow, nodes))
+    same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
     if members.isEmpty():
-        comps = spark.createDataFrame([], "node long, label long")
+        comps = components(same, staging)
     else:
-        ids = members.select(F.col("node").alias("doc_id")).distinct()
-        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = staging.put(slim.join(few, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, set array<long>, bits array<long>").groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits")))
+        sets = staging.put(_candidate_sets(slim, nodes, members, shingle))
         stars = members.filter((F.col("node") != F.col("centre")) & _fits("n", "centre_n", percent))
         pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        edges = staging.put(_linked(pairs, sets, percent))
+        edges = staging.put(_linked(pairs, sets, percent).union(same))
         comps = components(edges, staging)
         more = staging.put(_open_pairs(members, comps, sets, staging, percent))
         if not more.isEmpty():
             found = staging.put(_linked(more, sets, percent))
             if not found.isEmpty():
                 comps = components(edges.union(found), staging)
-        staging.drop(sets, edges, more)
-    staging.drop(members)
-    named = nodes.select("d1", "d2", "node").join(comps, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("named"))
-    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("named", "doc_id"))
-    out = feats.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    low = comps.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("low"))
+    named = nodes.join(comps.join(low, "label").select("node", "low"), "node", "left").select("node", "d1", "d2", "c", F.coalesce("low", "least").alias("component_id"))
+    named = staging.put(named)
+    of_doc = staging.put(own.join(named.select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
+    staging.drop_others(narrow, named, of_doc)
+    return _told(narrow, named, of_doc)
+
+
+def _several_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, node) of the documents whose rows have different shingle sets, empty ones included."""
+    known = rows.filter("doc_id is not null").select("doc_id", F.struct("d1", "d2").alias("mark"))
+    several = known.groupBy("doc_id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo <> hi").select("doc_id")
+    return rows.join(several, "doc_id", "left_semi").filter("n > 0").select("doc_id", "d1", "d2").distinct().join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node")
+
+
+def _candidate_sets(slim: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(node, set, bits) of the nodes in buckets, from the texts of their documents."""
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("d1", "d2", "node", F.xxhash64("least").alias("h"))
+    ids = asked.select("h").distinct()
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = slim.join(few, F.xxhash64(slim["doc_id"]) == few["h"], "left_semi")
+    sets = texts.mapInArrow(_sets(shingle), "d1 long, d2 long, set array<long>, bits array<long>").groupBy("d1", "d2").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
+    return sets.join(asked.select("d1", "d2", "node"), ["d1", "d2"]).select("node", "set", "bits")
+
+
+def _told(rows: DataFrame, named: DataFrame, of_doc: DataFrame) -> DataFrame:
+    """Each row's result.
+
+    Large groups of equal texts are few, so their results are broadcast and
+    their rows stay where they are; all other rows meet theirs by a join whose
+    groups are bounded; rows without words take part in neither.
+    """
+    total = named.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    large = named.filter(F.col("c") >= max(1000, total // LARGE_GROUPS)).select("d1", "d2", "component_id")
+    small = named.filter(F.col("c") < max(1000, total // LARGE_GROUPS)).select("d1", "d2", "component_id")
+    worded = rows.filter("n > 0 and doc_id is not null")
+    hot = worded.join(F.broadcast(large), ["d1", "d2"])
+    rest = worded.join(F.broadcast(large.select("d1", "d2")), ["d1", "d2"], "left_anti").join(small, ["d1", "d2"])
+    bare = rows.filter("n = 0 or doc_id is null").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = None
+    for part in (hot, rest, bare):
+        part = part.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        out = part if out is None else out.union(part)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -317,12 +317,16 @@ def test_perfect_hash_is_minimal():
 # -- 6 -----------------------------------------------------------------------
 
 
+def shingles(text, n):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(text)]
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
 def brute_components(rows, n, percent):
     sets = {}
     for d, t in rows:
         if d is not None:
-            w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
-            sets.setdefault(d, set()).add(frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset())
+            sets.setdefault(d, set()).add(shingles(t, n))
     up = {d: d for d in sets}
 
     def top(x):
@@ -359,25 +363,66 @@ def near_copies(seed, size):
 
 
 def test_components_against_all_pairs(spark, texts, hard, empty):
+    apart = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    repeated = [(1, apart[0]), (5, apart[0]), (5, apart[1]), (5, ""), (9, apart[1] + " x"), (9, apart[2]), (9, None), (12, apart[2]), (13, apart[3]), (13, apart[3]), (14, "")]
     for rows, n, percent, kw in (
         (list(texts.items()), 3, 85, {"bands": 48, "rows": 8}),
         (near_copies(1, 150), 3, 85, {"bands": 48, "rows": 8}),
         (near_copies(2, 150), 5, 80, {}),
-        ([(d, t) for d, t in HARD if d not in (8,)], 3, 85, {"bands": 48, "rows": 8}),
+        (HARD, 3, 85, {"bands": 48, "rows": 8}),
+        (repeated, 3, 85, {"bands": 48, "rows": 8}),
     ):
-        comp, size = brute_components(rows, n, percent)
-        df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n int")
+        comp, _ = brute_components(rows, n, percent)
+        size = {t: len(shingles(t, n)) for _, t in rows}
+        text = iter([t for _, t in sorted(rows, key=lambda r: (str(r[0]), len(shingles(r[1], n))))])
+        df = spark.createDataFrame([(d, t, 0, 1) for d, t in rows], "doc_id long, text string, n int, node int")
         got = minhash.near_duplicates(df, n, percent, **kw).collect()
         assert len(got) == len(rows)
-        for r in got:
+        for r in sorted(got, key=lambda r: (str(r.doc_id), r.n_shingles)):
+            assert r.n_shingles == size[next(text)]
             if r.doc_id is None:
                 assert r.component_id is None and r.kept
             else:
                 assert (r.component_id, r.kept) == (comp[r.doc_id], comp[r.doc_id] == r.doc_id)
-                assert r.n_shingles == size[r.doc_id]
+    named = spark.createDataFrame([(f"id {d}", t) for d, t in repeated], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(named, 3, 85).collect()} == {(f"id {d}", c) for d, c in ((1, "id 1"), (5, "id 1"), (9, "id 1"), (12, "id 1"), (13, "id 13"), (14, "id 14"))}
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_large_groups_and_many_cells_give_equal_results(spark, monkeypatch):
+    rows = near_copies(3, 120) + [(50_000 + k, "the same few words " * 9) for k in range(1500)]
+    comp, _ = brute_components([r for r in rows if r[0] < 50_002], 5, 80)
+    monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == comp.get(r.doc_id, 50_000) for r in got)
+
+
+def test_repeated_ids_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    apart = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(1, apart[0]), (5, apart[0]), (5, apart[1]), (7, apart[1]), (8, apart[2]), (8, ""), (9, None), (None, apart[2])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(map(str, c.sql(queries.ORACLES["op6_minhash_near_dedup"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in queries.op6_minhash_near_dedup(spark, str(tmp_path)).collect()) == want
+
+
+def test_recall_of_links_on_the_large_table(spark):
+    """Every link that an exact join of all shingles finds at 0.85 lies within one component."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("create view documents as select * from read_parquet('/root/testdata/sf0.1/documents.parquet')")
+    links = c.sql(f"WITH {queries._LINKS} SELECT a, b FROM l").fetchall()
+    comp = {r.doc_id: r.component_id for r in queries.op6_minhash_near_dedup(spark, "/root/testdata/sf0.1").collect()}
+    found = sum(comp[a] == comp[b] for a, b in links)
+    assert len(links) > 1000 and found == len(links)
+
+
 # -- 7 -----------------------------------------------------------------------
 
 
