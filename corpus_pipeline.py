@@ -42,11 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return _near_dedup_by_row(spark, docs)
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    return _without(docs, gone, "doc_id")
+    return _without(docs, found.filter("not kept").select("doc_id"), "doc_id")
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names; the list is written once and broadcast while it is short."""
+    gone = Staging(docs.sparkSession).put(gone)
     few = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
     return docs.join(few, key, "left_anti")
 
@@ -102,5 +103,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, staging = table(spark, sf_dir, "documents"), Staging(spark)
     for _, stage in STAGES:
-        docs = staging.put(stage(spark, docs, sf_dir))
+        done = staging.put(stage(spark, docs, sf_dir))
+        staging.drop_others(done)  # a stage's input goes when its rows are written
+        docs = done
     return docs.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
