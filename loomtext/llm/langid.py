@@ -4,16 +4,23 @@ For each language a suffix automaton is built over labelled text.  A text is
 parsed greedily into the longest phrases that the automaton knows; the fewer
 phrases, the closer the language.  A phrase costs log2 of the training length
 bits, so the entropy per character is phrases * log2(training) / length; the
-language with the least wins and the gap to the second gives the score.
+language with the least wins and the gap to the second gives the score.  A
+letter that the training text lacks counts as two phrases, an escape and itself;
+else a language with little training text would have strange letters cheapest.
 
-Texts are cut into blocks of ``BLOCK`` characters, in which parsing starts
-anew; all blocks of a batch step through the automata side by side, as table
-look-ups in numpy.  The automaton's table holds, for a character that ends the
-phrase, the state that the character opens, with one bit to count it.
+The parse of a whole text is one run of a table: it holds, for a character that
+ends the phrase, the state that the character opens, with one bit to count it.
+Blocks of ``BLOCK`` characters of all texts run side by side in numpy, at first
+as if each began a phrase; then each is entered again with the state its
+predecessor left, until the two runs meet, which they do after a few phrases.
+Where they never meet, the text is run on character by character.  So the count
+is that of the whole text, wherever blocks end.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 
@@ -25,21 +32,28 @@ from pyspark.sql.window import Window
 
 from loomtext.llm.common import map_pieces
 
-#: Training characters for a language, and the labelled rows that give them, at most.
-CHARS, ROWS = 8_000, 200
-#: Characters of a block; letters that get a symbol of their own.
-BLOCK, SYMBOLS = 256, 64
+#: Labelled rows that a language is learned from, at most; rows of more characters are taken only where shorter ones are too few.
+ROWS, MODERATE = 24, 20_000
+#: Characters of a block, and of a text that are parsed at a time.
+BLOCK, SEGMENT = 256, 1 << 20
+#: Entries of an automaton that are kept as a full table; a larger one (many letters) is searched.
+DENSE = 8 << 20
 
+#: Symbols: no letter; a letter that is not in the language's training text.
 _GAP, _OTHER = 0, 1
-_NEW = np.int32(1 << 30)
-_LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x10000)])
+_NEW = 1 << 30
+
+
+@functools.cache
+def _plain_codes() -> np.ndarray:
+    """The symbol of each code point before any letter is known."""
+    return np.array([_OTHER if not 0xD800 <= c < 0xE000 and chr(c).isalpha() else _GAP for c in range(0x110000)], np.int32)
 
 
 class Automaton:
-    """Suffix automaton of a symbol sequence as a flat transition table."""
+    """Suffix automaton of a symbol sequence; a state and a symbol give the next state, with a bit where a phrase begins."""
 
-    def __init__(self, seq: list[int], symbols: int):
-        size = 2 * max(1, len(seq))
+    def __init__(self, seq: list[int], symbols: int, dense: int = DENSE):
         step: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for s in seq:
@@ -65,117 +79,198 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        assert len(step) <= size + 1
-        table = np.full((len(step) + 1, symbols), -1, np.int32)  # the last state: after an unknown symbol
-        for state, out in enumerate(step):
-            for s, to in out.items():
-                table[state, s] = to * symbols
-        opens = np.where(table[0] >= 0, table[0], len(step) * symbols) + _NEW  # an unknown symbol is a phrase of its own
-        self.table = np.where(table >= 0, table, opens[None, :]).astype(np.int32).ravel()
+        states = len(step) + 1  # the last state: after a symbol that is a phrase of its own
         self.symbols = symbols
+        self.opens = np.full(symbols, states - 1, np.int32) + _NEW
+        for s, to in step[0].items():
+            self.opens[s] = to + _NEW
+        keys = np.array([state * symbols + s for state, out in enumerate(step) for s in out], np.int64)
+        to = np.array([to for out in step for to in out.values()], np.int32)
+        self.table = None
+        if states * symbols <= dense:
+            self.table = np.tile(self.opens, states)
+            self.table[keys] = to
+            self.cells = memoryview(self.table)
+        else:
+            order = np.argsort(keys)
+            self.keys, self.to = keys[order], to[order]
+            self.cells = memoryview(self.keys)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = state * np.int64(self.symbols) + symbol
+        if self.table is not None:
+            return self.table[at]
+        if not len(self.keys):
+            return self.opens[symbol]
+        k = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[k] == at, self.to[k], self.opens[symbol])
+
+    def one(self, state: int, symbol: int) -> int:
+        at = state * self.symbols + symbol
+        if self.table is not None:
+            return self.cells[at]
+        k = bisect.bisect_left(self.cells, at)
+        return int(self.to[k] if k < len(self.cells) and self.cells[k] == at else self.opens[symbol])
+
+
+def count_phrases(automaton: Automaton, flat: np.ndarray, sizes: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases, last state) of each text; ``flat`` holds their symbols one after the other.
+
+    ``carry`` is the state that a text goes on from, -1 where it begins.  A
+    phrase counts where it begins.  Texts are not empty.
+    """
+    blocks = -(-sizes // BLOCK)
+    owner = np.repeat(np.arange(len(sizes)), blocks)
+    begins = np.cumsum(sizes) - sizes
+    start = begins[owner] + (np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]) * BLOCK
+    long = np.minimum(BLOCK, begins[owner] + sizes[owner] - start)
+    heads = start == begins[owner]
 
-    def phrases(self, seq: list[int]) -> int:
-        """Greedy longest-match phrases of one sequence; the first symbol opens one."""
-        at, n = 0, 0
-        for i, s in enumerate(seq):
-            v = int(self.table[at + s]) if i else int(self.table[s]) & ~int(_NEW)
-            n += i == 0 or v >= int(_NEW)
-            at = v & ~int(_NEW)
-        return n
+    # all blocks at once, as if each began a phrase; those that begin a text go on from its carry
+    order = np.argsort(-long, kind="stable")  # blocks that end leave from the back
+    own_start, alive = start[order], np.searchsorted(-long[order], -np.arange(BLOCK), "left")
+    state, bit = np.zeros(len(flat), np.int32), np.zeros(len(flat), np.int8)
+    v = automaton.opens[flat[own_start]]
+    given = np.flatnonzero(heads[order] & (carry[owner[order]] >= 0))
+    v[given] = automaton.step(carry[owner[order][given]], flat[own_start[given]])
+    for i in range(BLOCK):
+        m = int(alive[i])
+        if not m:
+            break
+        at = own_start[:m] + i
+        if i:
+            v = automaton.step(now[:m], flat[at])
+        now = v & (_NEW - 1)
+        state[at], bit[at] = now, v >> 30
+
+    # each block again from the state before it, until both runs agree
+    change = np.zeros(len(owner), np.int64)
+    lane = np.flatnonzero(~heads)
+    now = state[start[lane] - 1]
+    open_ = []
+    for i in range(BLOCK):
+        over = long[lane] == i
+        open_ += lane[over].tolist()
+        lane, now = lane[~over], now[~over]
+        if not len(lane):
+            break
+        at = start[lane] + i
+        v = automaton.step(now, flat[at])
+        now = v & (_NEW - 1)
+        change[lane] += (v >> 30) - bit[at]
+        apart = now != state[at]
+        lane, now = lane[apart], now[apart]
+    open_ += lane.tolist()
+
+    # blocks whose runs never met: on from there, symbol by symbol, until they do
+    walked = -1
+    for b in sorted(open_):
+        if b <= walked:
+            continue
+        at, stop = int(start[b]), int(begins[owner[b]] + sizes[owner[b]])
+        now, more = int(state[at - 1]), 0
+        while at < stop:
+            v = automaton.one(now, int(flat[at]))
+            now = v & (_NEW - 1)
+            more += (v >> 30) - int(bit[at])
+            if now == state[at]:
+                break
+            state[at] = now
+            at += 1
+        walked = b + (min(at, stop - 1) - int(start[b])) // BLOCK
+        change[b : walked + 1] = 0
+        change[b] = more
+    phrases = np.add.reduceat(bit.astype(np.int64), begins) + np.bincount(owner, change, len(sizes)).astype(np.int64)
+    return phrases, state[begins + sizes - 1]
 
 
 class Model:
-    """The automata of all languages over one alphabet."""
+    """The automata of all languages, each over the letters of its own training text."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        seen: dict[str, int] = {}
+        self.code = _plain_codes().copy()
+        letters: dict[str, int] = {}
         for t in texts.values():
-            for c in t.lower():
-                if c.isalpha() and ord(c) < 0x10000:
-                    seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 2]
-        self.code = np.where(_LETTER, _OTHER, _GAP).astype(np.uint8)
-        for k, c in enumerate(letters):
-            self.code[ord(c)] = k + 2
-            if len(c.upper()) == 1 and ord(c.upper()) < 0x10000:
-                self.code[ord(c.upper())] = k + 2
-        self.bits, self.automata = [], []
+            for c in set(t):
+                if c.isalpha():
+                    low = c.lower() if len(c.lower()) == 1 else c
+                    symbol = letters.setdefault(low, len(letters) + 2)
+                    for form in (c, low, low.upper()):
+                        if len(form) == 1:
+                            self.code[ord(form)] = symbol
+        self.own, self.bits, self.automata = [], [], []
         for lang in self.langs:
-            seq = self.encode(texts[lang])
-            self.automata.append(Automaton(seq.tolist(), SYMBOLS))
-            self.bits.append(math.log2(max(2, len(seq))))
+            codes = self.encode(texts[lang])
+            there = np.unique(codes[codes > _OTHER])
+            own = np.full(len(letters) + 2, _OTHER, np.int32)
+            own[_GAP] = _GAP
+            own[there] = np.arange(2, len(there) + 2)
+            self.own.append(own)
+            self.automata.append(Automaton(own[codes].tolist(), len(there) + 2))
+            self.bits.append(math.log2(max(2, len(codes))))
 
     def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = self.code[np.minimum(points, 0xFFFF)]
-        far = np.flatnonzero(points > 0xFFFF)
-        for i in far.tolist():
-            code[i] = _OTHER if chr(points[i]).isalpha() else _GAP
-        return code
-
-    def parse(self, codes: list[np.ndarray]) -> np.ndarray:
-        """Phrases [text, language]; blocks of all texts advance together."""
-        sizes = np.array([len(c) for c in codes])
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(codes)), blocks)
+        return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def parse(self, codes: list[np.ndarray], carry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases [text, language] and last states of texts that are not empty."""
         out = np.zeros((len(codes), len(self.langs)), np.int64)
-        if not len(owner):
-            return out
-        flat = np.concatenate(codes)
-        begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        first = np.concatenate(([0], np.cumsum(blocks)))[:-1]
-        start = begins[owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
-        long = np.minimum(BLOCK, begins[owner] + sizes[owner] - start)
-        order = np.argsort(-long, kind="stable")  # blocks that end leave from the back
-        start, long, owner = start[order], long[order], owner[order]
-        alive = np.searchsorted(-long, -np.arange(BLOCK), "left")
-        for k, automaton in enumerate(self.automata):
-            table = automaton.table
-            state = table[flat[start]] & ~_NEW
-            count = np.ones(len(start), np.int32)
-            for i in range(1, BLOCK):
-                m = int(alive[i])
-                if not m:
-                    break
-                v = table[state[:m] + flat[start[:m] + i]]
-                count[:m] += v >> 30
-                state[:m] = v & ~_NEW
-            out[:, k] = np.bincount(owner, count, len(codes)).astype(np.int64)
-        return out
+        last = np.full(out.shape, -1, np.int32)
+        if len(codes):
+            flat, sizes = np.concatenate(codes), np.array([len(c) for c in codes])
+            for k, automaton in enumerate(self.automata):
+                own = self.own[k][flat]
+                out[:, k], last[:, k] = count_phrases(automaton, own, sizes, last[:, k] if carry is None else carry[:, k])
+                out[:, k] += np.add.reduceat((own == _OTHER).astype(np.int64), np.cumsum(sizes) - sizes)
+        return out, last
+
+    def _long(self, text: str) -> tuple[np.ndarray, bool]:
+        """Phrases of one long text, by segments, and whether it has a letter."""
+        total, carry, letter = 0, None, False
+        for at in range(0, len(text), SEGMENT):
+            codes = self.encode(text[at : at + SEGMENT])
+            letter = letter or bool((codes > _GAP).any())
+            phrases, carry = self.parse([codes], carry)
+            total = total + phrases[0]
+        return total, letter
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; ("und", 0) without a letter or a model."""
-        codes = [self.encode(t or "") for t in texts]
-        out: list[tuple[str, float]] = []
-        phrases = self.parse(codes) if self.langs else None
-        for d, c in enumerate(codes):
-            if phrases is None or not (c > _GAP).any():
-                out.append(("und", 0.0))
-                continue
-            cost = phrases[d] * np.array(self.bits) / len(c)
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        codes = {d: self.encode(t) for d, t in enumerate(texts) if t and len(t) <= SEGMENT}
+        codes = {d: c for d, c in codes.items() if (c > _GAP).any()}
+        phrases = dict(zip(codes, self.parse(list(codes.values()))[0]))
+        for d, t in enumerate(texts):
+            if t and len(t) > SEGMENT:
+                found, letter = self._long(t)
+                if letter:
+                    phrases[d] = found
+        for d, n in phrases.items():
+            cost = n * np.array(self.bits) / len(texts[d])
             order = np.argsort(cost, kind="stable")  # ties: the first by name
             second = cost[order[1]] if len(order) > 1 else 2 * cost[order[0]]
-            out.append((self.langs[order[0]], float(min(1.0, (second - cost[order[0]]) / second))))
+            out[d] = self.langs[order[0]], float(min(1.0, (second - cost[order[0]]) / second))
         return out
 
 
-def sample(labelled: DataFrame, chars: int = CHARS, rows: int = ROWS) -> dict[str, str]:
-    """Training text for each language: slices of the ``rows`` labelled texts whose ids hash lowest, ``chars`` in all.
+def sample(labelled: DataFrame, rows: int = ROWS, moderate: int = MODERATE) -> dict[str, str]:
+    """Training text for each language: the whole texts of at most ``rows`` labelled rows, those whose ids hash lowest.
 
-    Rows with null text or language are left out.  Only slices leave the
-    executors, at most ``rows`` * slice for each language.
+    Rows of more than ``moderate`` characters come after all others; equal rows
+    count once.  Rows with null or empty text or null language are left out.
     """
-    width = max(1, chars // rows)
-    known = labelled.filter("text is not null and lang is not null and length(text) > 0")
-    room = F.greatest(F.length("text") - width, F.lit(0)) + 1
-    h = F.xxhash64("doc_id", F.crc32("text"))
-    slices = known.select("lang", h.alias("h"), F.substring("text", (F.pmod(h, room) + 1).cast("int"), F.lit(width)).alias("s"))
-    ranked = slices.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "s"))).filter(F.col("r") <= rows)
+    known = labelled.filter("text is not null and lang is not null and length(text) > 0").withColumn("h", F.xxhash64("doc_id", F.crc32("text")))
+    order = Window.partitionBy("lang").orderBy("long", "h")
+    ranked = known.select("lang", "h", (F.length("text") > moderate).alias("long")).withColumn("r", F.dense_rank().over(order))
+    chosen = ranked.filter(F.col("r") <= rows).select("lang", "h", "r").distinct()  # few and without texts, which come in a second scan
+    picked = known.select("lang", "h", "text").join(F.broadcast(chosen), ["lang", "h"]).select("lang", "r", "text").distinct()
     texts: dict[str, list[str]] = {}
-    for r in sorted(ranked.select("lang", "r", "s").collect()):
-        texts.setdefault(r.lang, []).append(r.s)
-    return {k: "\n".join(v)[:chars] for k, v in texts.items()}
+    for r in sorted(picked.collect()):
+        texts.setdefault(r.lang, []).append(r.text)
+    return {k: "\n".join(v) for k, v in texts.items()}
 
 
 _models: dict[bytes, Model] = {}

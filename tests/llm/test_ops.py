@@ -260,16 +260,52 @@ def longest_match_phrases(train, text):
     return n
 
 
-def test_phrases_equal_greedy_longest_matches():
+@pytest.mark.parametrize("dense", [1 << 30, 0])
+def test_phrases_equal_greedy_longest_matches(monkeypatch, dense):
+    """Texts of many blocks too, and some whose parse never meets that of a block on its own."""
+    monkeypatch.setattr(langid.Automaton.__init__, "__defaults__", (dense,))
     rng = random.Random(3)
-    train = "".join(rng.choices("abc ", k=300))
-    model = langid.Model({"x": train})
-    back = "".join(chr(97 + c) for c in model.encode(train))
-    for _ in range(50):
-        text = "".join(rng.choices("abcdé ", k=rng.randint(1, 200)))
-        codes = model.encode(text)
-        want = longest_match_phrases(back, "".join(chr(97 + c) for c in codes))
-        assert model.automata[0].phrases(codes.tolist()) == want == model.parse([codes])[0, 0]
+    for _ in range(30):
+        train = "".join(rng.choices("ab c", k=rng.choice([0, 3, 50, 300])))
+        model = langid.Model({"x": train})
+        symbols = lambda t: "".join(chr(97 + c) for c in model.own[0][model.encode(t)])
+        texts = ["".join(rng.choices(rng.choice(["abcdé ", "a", "ab", "zz a"]), k=rng.choice([1, 5, 255, 256, 257, 2000, 5000]))) for _ in range(6)]
+        want = [longest_match_phrases(symbols(train), symbols(t)) + symbols(t).count("b") for t in texts]  # b: a letter that isn't in train
+        assert model.parse([model.encode(t) for t in texts])[0][:, 0].tolist() == want
+        monkeypatch.setattr(langid, "SEGMENT", 700)
+        assert [int(model._long(t)[0][0]) for t in texts] == want
+
+
+def test_language_query_against_plain_cross_parsing(spark, tmp_path):
+    """Predictions and scores of a small table by longest matches in the training strings; two languages with many letters of their own."""
+    rng = random.Random(12)
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text) < 700][:60]
+    first, second = [chr(0x4E00 + k) for k in range(300)], [chr(0x4E00 + 150 + k) for k in range(300)]
+    spoken = [["".join(rng.choices(letters, k=rng.randint(1, 3))) for _ in range(150)] for letters in (first, second)]
+    rows += [(5000 + k, "".join(rng.choices(spoken[k % 2], k=100)), ("xx", "yy")[k % 2]) for k in range(60)]
+    rows += [(6000, None, "en"), (6001, "12 3!", "fr"), (6002, "", None), (6003, "no label here", None), (6004, "again and again " * 60, "en"), (6004, "again and again " * 60, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    learned = langid.sample(spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string, lang string"))
+    labelled = {(t, g) for d, t, g in rows if not held(d)}
+    assert learned.keys() == {g for t, g in labelled if t and g}
+    for g, train in learned.items():  # whole texts of all labelled rows, or of as many as are taken
+        whole = [t for t, own in labelled if t and own == g]
+        assert sum(t in train for t in whole) >= min(len(whole), langid.ROWS)
+    low = lambda t: "".join(c.lower() if c.isalpha() else " " for c in t)
+    hide = lambda t, train: "".join(c if c == " " or c in train else "?" for c in t)
+    trained = {g: low(t) for g, t in learned.items()}
+    got = {(r.doc_id, r.lang_pred, round(r.score, 9), r.held_out) for r in queries.op4_language_id(spark, str(tmp_path)).collect()}
+    want = set()
+    for d, t, _ in rows:
+        best = ("und", 0.0)
+        if t and any(c.isalpha() for c in t):
+            seen = {g: hide(low(t), set(train)) for g, train in trained.items()}
+            cost = sorted(((longest_match_phrases(train, seen[g]) + seen[g].count("?")) * math.log2(len(train)) / len(t), g) for g, train in trained.items())
+            best = cost[0][1], min(1.0, (cost[1][0] - cost[0][0]) / cost[1][0])
+        want.add((d, best[0], round(best[1], 9), held(d)))
+    assert got == want
+    assert not [(d, p, g) for d, p, *_ in got for e, _, g in rows if d == e and g in ("xx", "yy") and p != g]
 
 
 def test_held_out_accuracy_and_hard_rows(spark, hard, empty):
