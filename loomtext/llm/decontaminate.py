@@ -13,19 +13,23 @@ from above, are left; Smith-Waterman aligns the others word by word with the
 item.  The score is the best alignment over the score of an exact copy, so
 substitutions, insertions and deletions lower it smoothly.
 
-The items travel with the tasks, in blocks of ``BLOCK_BYTES`` of text; a larger
-benchmark takes one pass over the corpus for each block, with equal results.
+The items are broadcast in blocks of ``BLOCK_BYTES`` of text, which the driver
+reads one after the other.  A larger benchmark takes one pass over the corpus
+for each block, with equal results.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
-from loomtext.llm.common import map_pieces
+from loomtext.llm.common import Staging, map_pieces
 from loomtext.llm.textvec import _BASE, PUNCT_BYTES, hash_words, mix
 
 #: Words of a seed; their places in an item and in a passage; items with fewer than ``SMALL`` words have each word as a seed.
@@ -124,25 +128,27 @@ def gapped(h: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
 
 
 class Items:
-    """Hashed words and seeds of a block of test items."""
+    """Hashed words and seeds of a block of test items; about 80 bytes for each of their words."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: pa.Array | list, texts: list[str | None]):
         words = hash_words(pa.array(texts, pa.string()), PUNCT_BYTES)
-        self.ids = ids
-        self.words = [words.of(d).copy() for d in range(len(ids))]
+        self.ids = ids if isinstance(ids, pa.Array) else pa.array(ids)
+        self.words = [words.of(d).copy() for d in range(len(texts))]
         self.known = [np.unique(h, return_inverse=True) for h in self.words]
-        spots = defaultdict(list)
-        for k, h in enumerate(self.words):
-            for places in ITEM_PLACES if len(h) >= SMALL else ((0,),) if len(h) >= SEED else ():
-                for at, g in enumerate(gapped(h, places).tolist()):
-                    spots[g].append((k, at))
         self.places = (*TEXT_PLACES, (0,)) if any(SEED <= len(h) < SMALL for h in self.words) else TEXT_PLACES
         self.short = [k for k, h in enumerate(self.words) if 0 < len(h) < SEED]
-        self.index(dict(spots))
-
-    def index(self, spots: dict[int, list[tuple[int, int]]]) -> None:
-        self.spots = spots
-        self.seeds = np.array(sorted(spots), np.uint64)
+        seeds, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for k, h in enumerate(self.words):
+            for places in ITEM_PLACES if len(h) >= SMALL else ((0,),) if len(h) >= SEED else ():
+                g = gapped(h, places)
+                seeds.append(g)
+                item.append(np.full(len(g), k, np.int32))
+                at.append(np.arange(len(g), dtype=np.int32))
+        seeds = np.concatenate(seeds)
+        order = np.argsort(seeds, kind="stable")
+        self.item, self.at = np.concatenate(item)[order], np.concatenate(at)[order]
+        self.seeds, first = np.unique(seeds[order], return_index=True)
+        self.first = np.append(first, len(order))  # places of seed k: item and at from first[k] to first[k + 1]
         self.maybe = None
 
     def _mask(self) -> tuple[np.uint64, np.ndarray]:
@@ -155,7 +161,7 @@ class Items:
         return self.maybe
 
     def hits(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, word position, seed) of the seeds in a batch."""
+        """(document, word position, number of the seed) of the seeds in a batch."""
         low, there = self._mask()
         out = []
         for places in self.places:
@@ -164,21 +170,23 @@ class Items:
             if not len(at):
                 continue
             k = np.minimum(np.searchsorted(self.seeds, g[at]), len(self.seeds) - 1)
-            at = at[self.seeds[k] == g[at]]
+            same = self.seeds[k] == g[at]
+            at, k = at[same], k[same]
             doc = np.searchsorted(words.first, at, "right") - 1
             whole = at + places[-1] < words.first[doc + 1]
-            out.append((doc[whole], at[whole] - words.first[doc[whole]], g[at[whole]]))
+            out.append((doc[whole], at[whole] - words.first[doc[whole]], k[whole]))
         none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip((none, none, none.astype(np.uint64)), *out))
+        return tuple(np.concatenate(x) for x in zip((none, none, none), *out))
 
     def spans(self, words, d: int, found: list[tuple[int, int]]) -> list[tuple[int, float, int, int]]:
-        """(item, score, first word, word after the last) of one document's leaks; found: (seed, position)."""
+        """(item, score, first word, word after the last) of one document's leaks; found: (number of the seed, position)."""
         windows = defaultdict(set)
         for g, p in found:
-            for k, q in self.spots[g]:
+            own = slice(self.first[g], self.first[g + 1])
+            for k, q in zip(self.item[own].tolist(), self.at[own].tolist()):
                 windows[k].add(p - q)
         h, out = words.of(d), []
-        for k, diagonals in windows.items():
+        for k, diagonals in sorted(windows.items()):
             item = self.words[k]
             n, need = len(item), self.need(k)
             reach = MATCH * n - need  # more insertions cost more than all the matches give above the threshold
@@ -218,22 +226,24 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> list[Items]:
-    """The items in bounded blocks, read one after the other; null texts are no items."""
+def _blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The items in bounded blocks, each broadcast before the next is read; null texts are no items."""
+    sc, kind = benchmark.sparkSession.sparkContext, to_arrow_type(benchmark.schema["item_id"].dataType)
     kept = benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text")
-    out, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     for r in kept.toLocalIterator():
         if size + len(r.text) > BLOCK_BYTES and ids:
-            out.append(Items(ids, texts))
+            yield sc.broadcast(Items(pa.array(ids, kind), texts))
             ids, texts, size = [], [], 0
         ids.append(r.item_id)
         texts.append(r.text)
         size += len(r.text)
-    return [*out, Items(ids, texts)] if ids else out
+    if ids:
+        yield sc.broadcast(Items(pa.array(ids, kind), texts))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word): every passage that aligns with a test item.
+    """(doc_id, item_id, score, first_word, end_word): every passage that aligns with a test item; ids of any type.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z as a-z;
     positions count them from 0.  Null and empty texts have no passages; equal
@@ -242,12 +252,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, end_word long"
     out = None
-    for items in _blocks(benchmark):
-        def run(piece: pa.RecordBatch, items=items) -> pa.RecordBatch:
-            found = items.leaks(piece.column("text"))
+    for block in _blocks(benchmark):
+        def run(piece: pa.RecordBatch, block=block) -> pa.RecordBatch:
+            found = block.value.leaks(piece.column("text"))
             rows = [(d, *span) for d, spans in enumerate(found) for span in spans]
-            doc = piece.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-            return pa.RecordBatch.from_arrays([doc, pa.array([items.ids[r[1]] for r in rows]).cast(pa.int64()) if rows else pa.array([], pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], ["doc_id", "item_id", "score", "first_word", "end_word"])
+            d, k, score, first, end = (pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())))
+            return pa.RecordBatch.from_arrays([piece.column("doc_id").take(d), block.value.ids.take(k), score, first, end], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
         part = docs.select("doc_id", "text").mapInArrow(map_pieces(run), schema)
         out = part if out is None else out.union(part)
@@ -255,10 +265,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no passage of the benchmark."""
-    for items in _blocks(benchmark):
-        def run(piece: pa.RecordBatch, items=items) -> pa.RecordBatch:
-            return piece.filter(pa.array([not x for x in items.leaks(piece.column("text"))], pa.bool_()))
+    """The rows of ``docs``, all columns, that hold no passage of the benchmark.
 
+    After the first block, a pass reads the rows that the one before left, from
+    the shared folder; so a worker holds one block, however many there are.
+    """
+    staging = None
+    for block in _blocks(benchmark):
+        def run(piece: pa.RecordBatch, block=block) -> pa.RecordBatch:
+            return piece.filter(pa.array([not x for x in block.value.leaks(piece.column("text"))], pa.bool_()))
+
+        if staging is None:
+            staging = Staging(docs.sparkSession)
+        else:
+            docs = staging.put(docs)
+            staging.drop_others(docs)
         docs = docs.mapInArrow(map_pieces(run), docs.schema)
     return docs

@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, chat, decontaminate, langid, licenses, minhash, quality, queries, secrets, sharding, urlfilter
 
@@ -572,6 +573,67 @@ def test_long_runs_of_longer_items_are_leaks():
     assert got == [[(0, 28 / 59, 1, 29)], []]
 
 
+def plain_passages(item, text, need, at=0):
+    """(score, start, end) of the best local alignments of at least ``need``, best first, then those beside them; cell by cell."""
+    best = [(0, 0)] * len(text)
+    row = [(0, j) for j in range(len(text) + 1)]
+    for w in item:
+        new = [(0, 0)]
+        for j, x in enumerate(text, 1):
+            add = lambda cell, n: (cell[0] + n, cell[1])
+            new.append(max((0, j), add(row[j - 1], 2 if w == x else -1), add(row[j], -1), add(new[-1], -1)))
+            best[j - 1] = max(best[j - 1], new[-1])
+        row = new
+    out, taken = [], []
+    for (score, start), end in sorted(((b, k + 1) for k, b in enumerate(best) if b[0] >= need), key=lambda x: (-x[0][0], x[1])):
+        if all(end <= a or start >= b for a, b in taken):
+            taken.append((start, end))
+            out.append((score, at + start, at + end))
+    if taken:
+        edges = sorted(taken)
+        for a, b in zip([0, *(t[1] for t in edges)], [*(t[0] for t in edges), len(text)]):
+            out += plain_passages(item, text[a:b], need, at + a) if a < b else []
+    return out
+
+
+@pytest.mark.parametrize("block", [4 << 20, 300])
+def test_leaks_equal_full_alignment(spark, monkeypatch, tmp_path, block):
+    """Item, score and span of every passage, and which rows stay, for one block and for many; through the query; ids that are no numbers."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(13)
+    vocab = [f"v{k}" for k in range(120)]
+    items = [(k, rng.choices(vocab, k=rng.choice([1, 2, 4, 9, 24, 45]))) for k in range(16)]
+    docs = []
+    for d in range(45):
+        t = rng.choices(vocab, k=rng.randint(0, 40))
+        for _ in range(rng.randint(0, 3)):
+            p = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, len(p) // 3)):
+                p[rng.randrange(len(p))] = rng.choice([*vocab, "new"])
+            t += p + rng.choices(vocab, k=rng.randint(0, 6))
+        docs.append((d, " ".join(t)))
+    docs += [(100, None), (101, ""), docs[3], docs[3]]
+    want = []
+    for d, t in docs:
+        ws = (t or "").split()
+        for k, p in items:
+            if len(p) < 3:
+                want += [(d, k, 1.0, at, at + len(p)) for at in range(len(ws) - len(p) + 1) if ws[at : at + len(p)] == p]
+            else:
+                need = min(math.ceil(0.5 * 2 * len(p)), 40)
+                want += [(d, k, round(score / (2 * len(p)), 9), a, b) for score, a, b in plain_passages(p, ws, need)]
+    assert len(want) > 60 and len({k for _, k, *_ in want}) > 10
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, " ".join(p)) for k, p in items] + [(50, None), (51, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r.doc_id, r.item_id, round(r.score, 9), r.first_word, r.end_word) for r in queries.op7_decontaminate(spark, str(tmp_path)).collect())
+    assert got == sorted(want)
+    df, bench = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "benchmark"))
+    named = decontaminate.find_leaks(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), bench.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
+    assert sorted((r.doc_id, r.item_id) for r in named.collect()) == sorted((f"d{d}", f"i{k}") for d, k, *_ in want)
+    bad = {d for d, *_ in want}
+    assert sorted((r.doc_id, r.text or "") for r in decontaminate.decontaminated(df, bench).collect()) == sorted((d, t or "") for d, t in docs if d not in bad)
+
+
 # -- 8 -----------------------------------------------------------------------
 
 
