@@ -195,17 +195,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     The rows are those whose ids hash lowest, so the choice depends on neither
     order nor partitioning.  Repeated labels of a document vote; a tie is bad
-    quality.  Null ids and labels are ignored.
+    quality.  Of a repeated id the smallest text counts.  Null ids and labels
+    are ignored.
     """
     votes = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("double").alias("y"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def features(piece: pa.RecordBatch) -> pa.RecordBatch:
         _, x = statistics(piece.column("text"))
-        return pa.RecordBatch.from_arrays([pa.array(piece.column("doc_id").cast(pa.int64())), piece.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+        return pa.RecordBatch.from_arrays([piece.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = sorted(rows.mapInArrow(map_pieces(features), "doc_id long, y double, x array<double>").collect())
+    got = sorted(rows.mapInArrow(map_pieces(features), "y double, x array<double>").collect())
     x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
     return train(x, np.array([r.y for r in got]), np.array(list(FEATURES.values())))
 
@@ -227,14 +228,14 @@ def passing(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def score(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, COUNTS, base_failed, score and kept for each row of ``docs``; null text counts as empty."""
+    """``keep``, COUNTS, base_failed, kept and score for each row of ``docs``; null text counts as empty."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         counts, x = statistics(piece.column("text"))
         failed, p, kept = _verdict(counts, x, trees)
         cols = [pa.array(np.ascontiguousarray(counts[:, k])) for k in range(len(COUNTS))]
-        return pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), *cols, pa.array(failed), pa.array(p), pa.array(kept)], [*keep, *COUNTS, "base_failed", "score", "kept"])
+        return pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), *cols, pa.array(failed), pa.array(kept), pa.array(p)], [*keep, *COUNTS, "base_failed", "kept", "score"])
 
     own = docs.select(*dict.fromkeys((*keep, "text")))
     fields = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keep)
-    return own.mapInArrow(map_pieces(run), f"{fields}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, score double, kept boolean")
+    return own.mapInArrow(map_pieces(run), f"{fields}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, score double")

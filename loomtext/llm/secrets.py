@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import map_texts
+from loomtext.llm.common import map_pieces, map_texts
 
 #: Kinds in reporting order; the first three are the base patterns.
 KINDS = ("assign", "access", "hex", "pem", "key", "hexkey", "jwt")
@@ -320,18 +320,16 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced and ``n_chars``, if there, counted anew; null text stays null."""
+    """``docs`` with secrets in ``text`` replaced and ``n_chars``, if there, counted anew as a long; null text stays null and has no count."""
 
-    def batches(it):
-        import pyarrow.compute as pc
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        text = pa.array([t if t is None else redact(t) for t in piece.column("text").to_pylist()], pa.string())
+        new = {"text": text, "n_chars": pa.compute.utf8_length(text).cast(pa.int64())}
+        return pa.RecordBatch.from_arrays([new.get(n, piece.column(n)) for n in piece.schema.names], piece.schema.names)
 
-        for b in it:
-            text = pa.array([t if t is None else redact(t) for t in b.column("text").to_pylist()], pa.string())
-            new = {"text": text, "n_chars": pc.utf8_length(text).cast(pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in b.schema.names], b.schema.names)
-
-    kept = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in docs.columns else docs
-    return kept.mapInArrow(batches, kept.schema)
+    if "n_chars" in docs.columns:
+        docs = docs.select(*(F.lit(None).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
+    return docs.mapInArrow(map_pieces(run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
