@@ -55,14 +55,22 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no fetch day and come without lists; both follow from ids and hosts by fixed rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched", F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int")))
-    digit = lambda at: F.conv(F.substring(F.md5("key"), at, 4), 16, 10).cast("long")
-    hosts = captures.select(F.explode(urlfilter.keys(F.col("url"))).alias("key")).filter("length(key) > 0").distinct()
-    drawn = hosts.select("key", digit(1).alias("a"), digit(5).alias("b"), digit(9).alias("c"), digit(13).alias("d"))
-    day = lambda n: F.date_add(F.lit("2022-07-01").cast("date"), n.cast("int"))
-    event = lambda name, verdict, pick, at, action: drawn.filter(pick).select(F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), "key", day(at).alias("day"), F.lit(action).alias("action"))
+    url = F.col("url")
+    known = captures.select(urlfilter.host(url).alias("h"), urlfilter.segment(url).alias("s")).filter("h <> ''").distinct()
+    digits = {name: F.conv(F.substring(F.md5("key"), at, 4), 16, 10).cast("long") for name, at in zip("abcd", (1, 5, 9, 13))}
+    drawn = known.select(F.explode(urlfilter.keys(F.col("h"), F.col("s"))).alias("key")).distinct().withColumns(digits)
     a, b, c, d = (F.col(x) for x in "abcd")
     spam, trusted = a % 4 == 0, d % 5 == 0
-    events = event("spam", "deny", spam, b % 600, "add").union(event("spam", "deny", spam & (c % 3 != 0), b % 600 + c % 200, "remove")).union(event("spam", "deny", spam & (c % 9 == 1), b % 600 + c % 200 + 30, "add")).union(event("trusted", "allow", trusted, c % 500, "add")).union(event("trusted", "allow", trusted & (a % 2 == 0), c % 500 + b % 300, "remove"))
+    drafts = (
+        ("spam", "deny", spam, b % 600, "add"),
+        ("spam", "deny", spam & (c % 3 != 0), b % 600 + c % 200, "remove"),
+        ("spam", "deny", spam & (c % 9 == 1), b % 600 + c % 200 + 30, "add"),
+        ("trusted", "allow", trusted, c % 500, "add"),
+        ("trusted", "allow", trusted & (a % 2 == 0), c % 500 + b % 300, "remove"),
+    )
+    first = F.lit("2022-07-01").cast("date")
+    each = F.array(*(F.struct(F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), pick.alias("pick"), F.date_add(first, at.cast("int")).alias("day"), F.lit(action).alias("action")) for name, verdict, pick, at, action in drafts))
+    events = drawn.select("key", F.explode(each).alias("e")).select("key", "e.*").filter("pick").drop("pick")
     return urlfilter.filter_captures(captures, events)
 
 
@@ -96,7 +104,7 @@ c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m, d.doc_id) AS component_id, coalesce(coalesce(m, d.doc_id) = d.doc_id, true) AS kept
 FROM documents d LEFT JOIN w ON w.doc_id IS NOT DISTINCT FROM d.doc_id AND w.text IS NOT DISTINCT FROM d.text LEFT JOIN n ON n.k = w.k LEFT JOIN c ON c.a = d.doc_id"""
 
-_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1))"
 _SEGMENT = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1)"
 
 
@@ -105,7 +113,7 @@ def _event(name: str, verdict: str, pick: str, at: str, action: str) -> str:
 
 
 _URL_FILTER = f"""WITH captures AS (SELECT page_id, url, DATE '2023-01-01' + CAST((page_id * 7919) % 730 AS INT) AS fetched FROM pages),
-labelled AS (SELECT DISTINCT url, string_split({_HOST}, '.') AS ls, {_SEGMENT} AS seg FROM captures WHERE {_HOST} <> ''),
+labelled AS (SELECT DISTINCT url, CASE WHEN regexp_matches({_HOST}, '^(\\[.*|[0-9]+(\\.[0-9]+){{3}})$') THEN [{_HOST}] ELSE string_split({_HOST}, '.') END AS ls, {_SEGMENT} AS seg FROM captures WHERE {_HOST} <> ''),
 domains AS (SELECT url, seg, unnest(list_transform(range(1, greatest(len(ls) - 1, 1) + 1), lambda i: array_to_string(ls[i:], '.'))) AS d FROM labelled),
 asked AS (SELECT url, d AS key FROM domains UNION ALL SELECT url, d || '/' || seg FROM domains WHERE seg <> ''),
 drawn AS (SELECT key, {', '.join(f"CAST('0x' || substr(md5(key), {at}, 4) AS BIGINT) AS {c}" for c, at in zip('abcd', (1, 5, 9, 13)))} FROM (SELECT DISTINCT key FROM asked)),

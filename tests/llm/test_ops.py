@@ -642,24 +642,25 @@ def test_url_filter_against_plain_python(spark):
 
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     rng = random.Random(6)
-    hosts = ["a.com", "x.a.com", "b.org", "w.x.a.com"]
-    events = [(rng.choice(["spam", "ok"]), None, rng.choice([*hosts, "a.com/p", "b.org/q"]), day(rng.randint(0, 200)), rng.choice(["add", "remove"])) for _ in range(120)]
+    hosts = ["a.com", "x.a.com", "b.org", "w.x.a.com", "1.2.3.4", "[::1]"]
+    events = [(rng.choice(["spam", "ok"]), None, rng.choice([*hosts, "a.com/p", "b.org/q", "3.4", "[::1]/p", "1.2.3.4/p"]), day(rng.randint(0, 200)), rng.choice(["add", "remove"])) for _ in range(200)]
     events = [(name, "deny" if name == "spam" else "allow", *rest) for name, _, *rest in events] + [("spam", "deny", None, day(1), "add"), ("spam", "deny", "a.com", None, "add")]
     caps = [(k, f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(['', 'u@'])}{rng.choice(hosts).upper()}{rng.choice(['', ':80'])}/{rng.choice(['', 'p', 'q/r', 'p?x=1'])}", day(rng.randint(0, 220))) for k in range(300)]
     caps += [(900, None, day(3)), (901, "nonsense", day(3)), (902, "http://a.com/", None), caps[0]]
-    got = urlfilter.filter_captures(spark.createDataFrame([(*c, 1, 2, 3) for c in caps], "page_id long, url string, fetched date, best int, n int, verdict int"), spark.createDataFrame(events, "list string, verdict string, key string, day date, action string"))
+    caps += [(1000 + k, "http://x.a.com/p", day(200)) for k in range(1500)]  # one question of many captures
+    got = urlfilter.filter_captures(spark.createDataFrame([(*c, 1, 2, 3, 4, 5, 6) for c in caps], "page_id long, url string, fetched date, best int, n int, verdict int, _best int, h int, c1 int"), spark.createDataFrame(events, "list string, verdict string, key string, day date, action string"))
     state = defaultdict(dict)
     for name, verdict, key, when, action in events:
         if key and when:
             state[name, verdict, key][when] = state[name, verdict, key].get(when) == "add" and "add" or action
     want = []
     for k, url, at in caps:
-        m = re.match(r"(?i)[a-z]+://(?:[^/?#@]*@)?([^/?#:]+)(?:[^/?#]*)(?:/([^/?#]+))?", url or "")
+        m = re.match(r"(?i)[a-z]+://(?:[^/?#@]*@)?(\[.*?\]|[^/?#:]+)(?:[^/?#]*)(?:/([^/?#]+))?", url or "")
         if not m:
             want.append((k, "invalid", None, 0))
             continue
         labels, seg = m[1].lower().split("."), m[2]
-        domains = [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]
+        domains = [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))] if m[1][0] not in "[1" else [m[1].lower()]
         keys = domains + ([f"{d}/{seg}" for d in domains] if seg else [])
         on = []
         for (name, verdict, key), days in state.items():
