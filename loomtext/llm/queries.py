@@ -136,7 +136,7 @@ _PLACES = ", ".join(f"list_filter(range(1, len(ws) + 1), lambda i: coalesce({_PL
 _ALL_PLACES = "list_concat(list_concat(p0, p1), list_concat(p2, p3))"
 _BASE = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES)) + "], lambda x: x IS NOT NULL)"
 _TOKENS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-_TEMPLATES = ", ".join(f"('{label}', [{', '.join(repr(w) for w in ws)}], {licenses._need(len(ws))})" for label, ws in licenses._template_words())
+_TEMPLATES = ", ".join(f"('{label}', [{', '.join(repr(w) for w in ws)}], {licenses._need(len(ws))})" for label, ws in licenses.template_words())
 
 #: Every block against every template, by counting.
 _LICENSES = f"""WITH t AS (SELECT * FROM (VALUES {_TEMPLATES}) t(label, tw, need)),

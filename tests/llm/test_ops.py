@@ -736,7 +736,7 @@ def license_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def plain_license(text):
+def plain_license(text, templates=licenses.TEMPLATES):
     w, labels, at = license_words(text), set(), []
     for phrase, label in licenses.PHRASES:
         p = phrase.split()
@@ -746,8 +746,8 @@ def plain_license(text):
     met, best = set(), 0.0
     for block in {*(text or "").split("\n"), *re.split(r"\n[ \t\r]*\n", text or "")}:
         b = set(license_words(block))
-        for label, t in licenses._template_words():
-            if len(b & set(t)) >= math.ceil(0.9 * len(t) - 1e-9):
+        for label, t in ((label, set(license_words(t))) for label, t in templates):
+            if t and len(b & set(t)) >= math.ceil(0.9 * len(t) - 1e-9):
                 met.add(label)
                 best = max(best, len(b & set(t)) / len(t))
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | met)), 1.0 if at else best
@@ -763,6 +763,34 @@ def test_license_query_and_hard_rows(spark, texts, hard, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_templates_are_a_table(spark, monkeypatch):
+    """Many templates over a small vocabulary, with quotes and nulls, against counting; met blocks joined by shuffle; no template at all."""
+    rng = random.Random(14)
+    vocab = [f"t{k}" for k in range(60)] + ["über", "日本", "it's"]
+    templates = [(f"l{k % 40}'\"", " ".join(rng.choices(vocab, k=rng.choice([1, 3, 8, 15, 30])))) for k in range(150)]
+    texts = []
+    for d in range(120):
+        lines = [" ".join(rng.choices(vocab, k=rng.randint(0, 5))) for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(0, 2)):
+            ws = rng.choice(templates)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                ws[rng.randrange(len(ws))] = "other"
+            lines.append(rng.choice([" ", "\n", "\n\n"]).join(ws).upper())
+        texts.append((d, "\n".join(lines)))
+    texts += [(500, None), (None, texts[5][1]), texts[5], texts[5]]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame([*templates, ("x", None), (None, "t1 t2"), ("y", " ;"), templates[3]], "label string, text string")
+    want = sorted(map(str, ((d, *plain_license(t, templates)) for d, t in texts)))
+    assert sum("l" in w for w in want) > 20
+    for limit in (50_000, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_BLOCKS", limit)
+        assert sorted(map(str, (tuple(r) for r in licenses.scan(df, table).collect()))) == want
+    assert {r.labels for r in licenses.scan(df, table.limit(0)).collect()} == {""}
+    monkeypatch.setattr(licenses, "TEMPLATE_WORDS", 10)
+    with pytest.raises(ValueError, match="more than 10 words"):
+        licenses.scan(df, table)
+
+
 def test_components_of_random_graphs_and_chains(spark):
     from loomtext.llm.common import Staging
     from loomtext.llm.components import components
