@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -45,7 +46,9 @@ _CHAR = re.compile(r"\\+(/|u002[bBfF])|(%2[bBfF])")
 _END = r"""(?:\r\n|\n|\r|\\+(?:[nr]|u000[aAdD]|x0[aAdD])|%0[aAdD]|<br[ ]*/?>|&\#(?:1[03]|x[aAdD]);)"""
 _BREAK = re.compile(_END)
 #: From one line of a key to the next: closing quotes and signs, line ends; or blanks; or quotes around a sign.
-_NEXT = re.compile(rf"""(?:(?:["'`][ \t]*[+.,;&]?|[ \t]*)[ \t]*\\?{_END})+|["'`][ \t]*[+.,][ \t]*(?=["'`])|[ \t]+""")
+_NEXT = re.compile(rf"""(?:(?:["'`][ \t]{{0,64}}(?:[+.,;&][ \t]{{0,64}})?|[ \t]{{0,64}})\\?{_END})+|["'`][ \t]{{0,64}}[+.,][ \t]{{0,64}}(?=["'`])|[ \t]{{1,64}}""")
+#: A key's lines have as many characters, but for the first and the last one; as many empty lines may stand between; and its length takes as many bytes.
+LINE, GAPS, LENGTH_BYTES = 16, 4, 2
 _HEAD = re.compile(r"(?:[ \t]*\d{1,6}[ \t]*[:|][ \t]*|[ \t]*\d{1,6}[ \t]+)?[^A-Za-z0-9+/=\n\r\\%&]{0,32}")
 _PADDING = re.compile(r"(?:=|\\+u003[dD]|%3[dD]){0,2}")
 
@@ -61,6 +64,11 @@ def unbase64(s: str) -> bytes | None:
         return None
 
 
+def _plain64(s: str) -> bytes | None:
+    """Bytes of characters that are standard base64 for certain, without padding."""
+    return None if len(s) % 4 == 1 else binascii.a2b_base64(s + "=" * (-len(s) % 4))
+
+
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """The (tag, value) items that fill ``data`` exactly; None if lengths do not fit."""
     out, at = [], 0
@@ -153,36 +161,66 @@ def is_token(head: str, body: str) -> bool:
         return False
 
 
-def _join_lines(text: str, at: int, to: int, need: int | None = None, prefix: str | None = None) -> tuple[str, int]:
-    """Base64 characters from ``at``, over line ends and line prefixes, and where they end; ``need`` of them at most."""
-    prefix = _BREAK.split(text[max(0, at - 64) : at])[-1] if prefix is None else prefix
-    out, n, end = [], 0, at
-    while at < to and (need is None or n < need):
-        if m := _RUN.match(text, at, to):
-            part = m[0] if need is None else m[0][: need - n]
-            at = end = at + len(part)
-        elif m := _CHAR.match(text, at, to):
-            part = _ESCAPED[(m[1] or m[2]).lower()]
-            at = end = m.end()
-        elif m := _NEXT.match(text, at, to):
-            at = m.end()
-            if prefix and text.startswith(prefix, at):
-                at += len(prefix)
-            at = _HEAD.match(text, at, to).end()
-            continue
-        else:
-            break
-        out.append(part)
-        n += len(part)
-    return "".join(out), end
+class _Joined:
+    """The base64 characters from ``at`` on, over line ends and line prefixes.
 
+    They are joined as far as someone asks, and once for all keys that may
+    begin among them.  A short line is the last one.
+    """
 
-def _size(text: str, at: int, head: str, to: int) -> int | None:
-    """Bytes of the key whose base64 may begin at ``at``, by its own lengths; None if there is none."""
+    def __init__(self, text: str, at: int, to: int, prefix: str | None = None):
+        self.text, self.at, self.to, self.line, self.gaps, self.over = text, at, to, LINE, 0, False
+        self.prefix = _BREAK.split(text[max(0, at - 64) : at])[-1] if prefix is None else prefix
+        self.chars = bytearray()
+        self.begins: list[int] = []  # of each part: its place in the text, its place in chars, and where the text goes on
+        self.counts: list[int] = []
+        self.ends: list[int] = []
+
+    def _grow(self, n: int | None) -> None:
+        text, at = self.text, self.at
+        while not self.over and (n is None or len(self.chars) < n):
+            begin = at
+            if at < self.to and (m := _RUN.match(text, at, self.to)):
+                part, at = m[0], m.end()
+            elif at < self.to and (m := _CHAR.match(text, at, self.to)):
+                part, at = _ESCAPED[(m[1] or m[2]).lower()], m.end()
+            elif at < self.to and (self.line >= LINE or self.line == 0 and self.gaps < GAPS) and (m := _NEXT.match(text, at, self.to)):
+                at, self.line, self.gaps = m.end(), 0, self.gaps + 1
+                if self.prefix and text.startswith(self.prefix, at):
+                    at += len(self.prefix)
+                at = _HEAD.match(text, at, self.to).end()
+                continue
+            else:
+                self.over = True
+                break
+            self.begins.append(begin)
+            self.counts.append(len(self.chars))
+            self.ends.append(at)
+            self.chars += part.encode()
+            self.line, self.gaps = self.line + len(part), 0
+        self.at = at
+
+    def offset(self, at: int) -> int | None:
+        """Which of the characters stands at a place of the text; None if none that is joined yet."""
+        k = bisect.bisect_right(self.begins, at) - 1
+        return self.counts[k] + at - self.begins[k] if k >= 0 and at < self.ends[k] else None
+
+    def take(self, offset: int, need: int | None = None) -> str:
+        self._grow(None if need is None else offset + need)
+        return self.chars[offset : None if need is None else offset + need].decode()
+
+    def end(self, offset: int) -> int:
+        """Where the text goes on after so many characters."""
+        k = bisect.bisect_left(self.counts, offset) - 1
+        return min(self.ends[k], self.begins[k] + offset - self.counts[k]) if self.ends[k] - self.begins[k] > 1 and self.text[self.begins[k]] not in "\\%" else self.ends[k]
+
+
+def _size(joined: _Joined, at: int, head: str) -> int | None:
+    """Bytes of the key whose base64 may begin with the character ``at``, by its own lengths; None if there is none."""
     if head[0] == "M":
         data = unbase64(head)
         k = data[1] & 0x7F if data[1] >= 0x80 else 0
-        if k > 3 or data[1] == 0x80:
+        if k > LENGTH_BYTES or data[1] == 0x80:
             return None
         inner = data[2 + k :]
         if inner[0] != 0x30 and (inner[0] != 0x02 or inner[1:2] not in (b"", b"\1")):
@@ -190,11 +228,11 @@ def _size(text: str, at: int, head: str, to: int) -> int | None:
         return 2 + k + (int.from_bytes(data[2 : 2 + k], "big") if k else data[1])
     need = 512
     while True:
-        chars, _ = _join_lines(text, at, to, need)
+        chars = joined.take(at, need)
         again = chars.find(head, 1)  # another begin: the key of this one ends before it or is none
         last = again >= 0 or len(chars) < need
         chars = chars[:again] if again >= 0 else chars
-        data = unbase64(chars[: len(chars) - (len(chars) % 4 == 1)]) or b""
+        data = _plain64(chars[: len(chars) - (len(chars) % 4 == 1)]) or b""
         if head[0] == "b":
             size = openssh_size(data)
         else:
@@ -205,20 +243,41 @@ def _size(text: str, at: int, head: str, to: int) -> int | None:
         need *= 4
 
 
+def _may_nest(data: bytes, size: int) -> bool:
+    """False if the items of a DER value, as far as ``data`` shows them, do not nest in its ``size`` bytes."""
+    at = 2 + (data[1] & 0x7F if len(data) > 1 and data[1] >= 0x80 else 0)
+    while at + 6 <= len(data):
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n >= 0x80:
+            k = n & 0x7F
+            n, at = int.from_bytes(data[at : at + k], "big"), at + k
+            if not 1 <= k <= 4:
+                return False
+        at += n
+        if tag not in (0x02, 0x04, 0x30, 0xA0, 0xA1) or at > size:
+            return False
+    return len(data) >= min(size, 8)
+
+
 def wrapped(text: str, at: int = 0, to: int | None = None) -> list[tuple[int, int]]:
     """(start, end) of whole keys in base64, in one line or several."""
-    out, to, done = [], len(text) if to is None else to, at
+    out, to, done, joined = [], len(text) if to is None else to, at, None
     for m in _START.finditer(text, at, to):
         a = m.start()
         if a < done or a and text[a - 1].isascii() and text[a - 1].isalnum() and not _BREAK.fullmatch(text, max(0, _before(text, a)), a):
             continue
-        size = _size(text, a, m[0], to)
+        k = joined.offset(a) if joined is not None else None
+        if k is None:
+            joined, k = _Joined(text, a, to), 0
+        size = _size(joined, k, m[0])
         if size is None:
             continue
         need = -(-size * 4 // 3)
-        chars, end = _join_lines(text, a, to, need)
-        if len(chars) == need and (m[0][0] == "L" or is_key(unbase64(chars))):
-            done = min(to, _PADDING.match(text, end).end())
+        if m[0][0] == "M" and not _may_nest(_plain64(joined.take(k, min(need, 512))) or b"", size):
+            continue
+        chars = joined.take(k, need)
+        if len(chars) == need and (m[0][0] == "L" or is_key(_plain64(chars))):
+            done = min(to, _PADDING.match(text, joined.end(k + need)).end())
             out.append((a, done))
     return out
 
@@ -236,8 +295,9 @@ def _pem(text: str, a: int, b: int) -> bool:
         m = _BREAK.search(body, max(body.rfind("DEK-Info:"), body.rfind("Proc-Type:")))
         if m is None:
             return False
-        chars, end = _join_lines(text, a + m.start(), b, prefix=_BREAK.split(body[: body.index("Proc-Type:")])[-1])
-        if re.search("[A-Za-z0-9]", _BREAK.sub("", text[_PADDING.match(text, end).end() : b])):
+        joined = _Joined(text, a + m.start(), b, _BREAK.split(body[: body.index("Proc-Type:")])[-1])
+        chars = joined.take(0)
+        if not chars or re.search("[A-Za-z0-9]", _BREAK.sub("", text[_PADDING.match(text, joined.end(len(chars))).end() : b])):
             return False
         data = unbase64(chars)
         return bool(data) and len(data) % 8 == 0
