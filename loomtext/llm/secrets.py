@@ -69,11 +69,11 @@ def _plain64(s: str) -> bytes | None:
     return None if len(s) % 4 == 1 else binascii.a2b_base64(s + "=" * (-len(s) % 4))
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The (tag, value) items that fill ``data`` exactly; None if lengths do not fit."""
+def der_items(data: bytes, most: int = 16) -> list[tuple[int, bytes]] | None:
+    """The (tag, value) items that fill ``data`` exactly; None if lengths do not fit or there are more than a key has."""
     out, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        if at + 2 > len(data) or len(out) == most:
             return None
         tag, size = data[at], data[at + 1]
         at += 2
