@@ -7,15 +7,18 @@ of its bytes, O(n log n) however long it is.
 
 A worker keeps the results of recent pre-tokens in two generations of ``MEMO``
 each: when the young one is full it becomes the old one, and what is asked for
-again moves back, so frequent words stay.  Nothing else grows with the corpus.  The driver reads the rank file once and ships it with
-the task, so executors need no copy of it.
+again moves back, so frequent words stay.  Nothing else grows with the corpus.
+The driver reads the rank file once and ships its bytes with the task, so
+executors need no copy of it; a worker parses them once.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +83,13 @@ class PerfectHash:
         return self.key_at[((((h ^ (d * _STEP & _ALL)) * _SPREAD) & _ALL) >> 32) % self.n]
 
 
+def parse_ranks(lines: Iterable[bytes]) -> list[tuple[bytes, int]]:
+    return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines)]
+
+
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
     with open(path, "rb") as f:
-        return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
+        return parse_ranks(f)
 
 
 class Codec(dict):
@@ -94,10 +101,13 @@ class Codec(dict):
         self.ids = [r for _, r in ranks]
         self.rank = dict(ranks)
         self.hash = PerfectHash(self.tokens)
-        self.by_decimal = {str(r): t for t, r in ranks}
         self.split = regex.compile(pattern).findall
         self.old: dict[str, str] = {}
 
+    @functools.cached_property
+    def by_decimal(self) -> dict[str, bytes]:
+        return {str(r): t for t, r in zip(self.tokens, self.ids)}
+
     def __missing__(self, piece: str) -> str:
         out = self.old.get(piece)
         if out is None:
@@ -147,8 +157,13 @@ class Codec(dict):
         """The ids of a text in decimal, one space between."""
         return " ".join(map(self.__getitem__, self.split(text)))
 
+    def array(self, text: str) -> np.ndarray:
+        """The ids of a text, four bytes each."""
+        decimals = self.decimals(text)
+        return np.fromstring(decimals, np.int32, sep=" ") if decimals else np.zeros(0, np.int32)
+
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.decimals(text).split()]
+        return self.array(text).tolist()
 
     def decode(self, decimals: str) -> bytes:
         return b"".join(map(self.by_decimal.__getitem__, decimals.split()))
@@ -158,15 +173,19 @@ _codecs: dict[bytes, Codec] = {}
 
 
 class _Shipped:
-    """What travels with a task: the rank file's entries; a worker builds its codec once."""
+    """What travels with a task: the rank file's bytes; a worker builds its codec once."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.pattern = read_ranks(path), pattern
-        self.key = hashlib.sha256(repr((self.ranks, pattern)).encode()).digest()
+        with open(path, "rb") as f:
+            self.raw, self.pattern = f.read(), pattern
+        self.key = hashlib.sha256(repr((self.raw, pattern)).encode()).digest()
+
+    def ranks(self) -> list[tuple[bytes, int]]:
+        return parse_ranks(self.raw.splitlines())
 
     def codec(self) -> Codec:
         if self.key not in _codecs:
-            _codecs[self.key] = Codec(self.ranks, self.pattern)
+            _codecs[self.key] = Codec(self.ranks(), self.pattern)
         return _codecs[self.key]
 
 
@@ -182,7 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
         codec = shipped.codec()
 
         def one(text: str):
-            ids = codec.encode(text)
+            ids = codec.array(text)
             return len(ids), ids
 
         yield from map_texts(one, ["n_tokens", "ids"], [pa.int64(), pa.list_(pa.int32())], list(keep))(it)
@@ -197,7 +216,7 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
     shipped = _Shipped(path, "")
 
     def batches(it):
-        token = {r: t for t, r in shipped.ranks}
+        token = {r: t for t, r in shipped.ranks()}
         for b in it:
             out = [b"".join(map(token.__getitem__, ids or ())) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
