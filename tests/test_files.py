@@ -129,3 +129,29 @@ def test_settings_and_output_files(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "chat/messages.html").write_text('<div class="message"><div class="body"><div class="text">a b c</div></div></div>' * 3)
     assert cli.main(["chat", str(tmp_path / "chat"), "-o", str(tmp_path / "c"), "-w", "3", "--base", "p"]) == 0
     assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["p_1.txt", "p_2.txt", "p_3.txt"] and "3 parts" in capsys.readouterr().out
+
+
+def test_directories_are_listed_by_a_task(spark, tmp_path):
+    """The driver holds no list of a directory's files, and the same ones are read: none hidden, none below."""
+    for k in range(300):
+        (tmp_path / f"f {k}%20.txt").write_text(str(k))
+    for name in (".h", "_h", "x._COPYING_"):
+        (tmp_path / name).write_text("no")
+    (tmp_path / "_a=b").write_text("")
+    (tmp_path / "sub.txt").mkdir()
+    (tmp_path / "sub.txt/f.txt").write_text("no")
+    found = files.read_bytes(spark, str(tmp_path))
+    assert found.inputFiles() == []
+    assert {r.name: (r.file, bytes(r.content)) for r in found.collect()} == {"_a=b": (f"file:{tmp_path}/_a=b", b"")} | {f"f {k}%20.txt": (f"file:{tmp_path}/f {k}%20.txt", str(k).encode()) for k in range(300)}
+    assert [r.name for r in files.read_bytes(spark, str(tmp_path), "f 1?2%*.txt").select("name").orderBy("name").collect()] == sorted(f"f 1{k}2%20.txt" for k in range(10))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_bytes(spark, str(tmp_path / "gone"))
+
+
+def test_names_of_any_length_and_none_outside(spark, tmp_path):
+    """Files under way have short names; a failed write leaves nothing in place and nothing hidden."""
+    rows = lambda *names: spark.createDataFrame([(n, 0, n) for n in names], "name string, line_no long, line string")
+    write_parts(rows("n" * 255), str(tmp_path / "o"))
+    with pytest.raises(Exception, match="is no file name"):
+        write_parts(rows("a", "b", "../x"), str(tmp_path / "o"))
+    assert [p.name for p in (tmp_path / "o").iterdir()] == ["n" * 255] and [p.name for p in tmp_path.iterdir()] == ["o"]
