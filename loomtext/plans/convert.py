@@ -46,10 +46,10 @@ def convert_json(spark: SparkSession, path: str, folder: str, name: str | None =
     write_parts(found.select("name", F.lit(0).alias("line_no"), F.array_join(json_leaves("content"), "\n").alias("line")), folder)
 
 
-def convert_epub(spark: SparkSession, path: str, folder: str, name: str | None = None) -> None:
-    """The text of each book, named after it; ``name``: the text file of a single one."""
+def convert_epub(spark: SparkSession, path: str, folder: str, name: str | None = None, bare: bool = True) -> None:
+    """The text of each book, named after it; ``name``: the text file of a single one; ``bare`` is that of ``markup.to_text``."""
     books = _named(files.read_bytes(spark, path).withColumn("book", F.col("name")), "book", name).select(F.col("name").alias("file"), "content")
-    write_parts(epub.to_documents(books).select(F.col("file").alias("name"), F.lit(0).alias("line_no"), F.col("content").alias("line")), folder)
+    write_parts(epub.to_documents(books, bare=bare).select(F.col("file").alias("name"), F.lit(0).alias("line_no"), F.col("content").alias("line")), folder)
 
 
 def convert_chat(spark: SparkSession, path: str, folder: str, limit: int = DEFAULT_WORDS, base: str = "chat_part") -> int:

@@ -78,19 +78,19 @@ def reading_order(items: list[tuple[str, str, str]], refs: list[tuple[str, str |
             yield pos, href, kind
 
 
-def read_sections(archives: DataFrame) -> DataFrame:
+def read_sections(archives: DataFrame, bare: bool = True) -> DataFrame:
     """(file, pos, text) of the non-empty sections of (file, content BINARY) archives, in reading order.
 
     Each archive is opened once, where it lies: its package says what to read,
     and only those members are unpacked.  Members that are missing are skipped;
-    a null archive has no sections.
+    a null archive has no sections.  ``bare`` is that of ``markup.to_text``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 raw = b.column("content")[k].as_buffer()
-                rows = list(sections(raw)) if raw is not None else []
+                rows = list(sections(raw, bare)) if raw is not None else []
                 if rows:
                     yield pa.RecordBatch.from_arrays([b.column("file").take(pa.array([k] * len(rows))), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], ["file", "pos", "text"])
 
@@ -98,7 +98,7 @@ def read_sections(archives: DataFrame) -> DataFrame:
     return archives.select("file", "content").mapInArrow(run, f"file {kind}, pos int, text string")
 
 
-def sections(raw: pa.Buffer | bytes) -> Iterator[tuple[int, str]]:
+def sections(raw: pa.Buffer | bytes, bare: bool = True) -> Iterator[tuple[int, str]]:
     """(pos, text) of one archive's non-empty sections."""
     with zipfile.ZipFile(pa.BufferReader(raw)) as archive:
         path, items, refs = package(archive)
@@ -106,18 +106,18 @@ def sections(raw: pa.Buffer | bytes) -> Iterator[tuple[int, str]]:
         for pos, href, kind in reading_order(items, refs):
             if (member := markup.member_path(path, href)) in known:
                 text = markup.decode(archive.read(member))
-                text = (text if kind == "text/plain" else markup.to_text(text)).strip()
+                text = (text if kind == "text/plain" else markup.to_text(text, bare)).strip()
                 if text:
                     yield pos, text
 
 
-def to_documents(archives: DataFrame, strict: bool = True) -> DataFrame:
+def to_documents(archives: DataFrame, strict: bool = True, bare: bool = True) -> DataFrame:
     """(file, content): sections by blank lines and a newline at the end.
 
     An archive without a section raises, or is left out if not ``strict``.
     """
     text = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n"), F.lit("\n"))
-    found = read_sections(archives).groupBy("file").agg(text.alias("content"))
+    found = read_sections(archives, bare).groupBy("file").agg(text.alias("content"))
     if not strict:
         return found
     none = F.raise_error(F.concat(F.lit("no text in the spine of "), F.col("file")))

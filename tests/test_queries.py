@@ -43,3 +43,15 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ("epub_files",))
+def test_cut_references_stay_as_in_the_sql(spark, tmp_path, name):
+    """Titles of larger tables are cut inside a reference."""
+    c = duckdb.connect()
+    cut = "<h1>a&amp;&amp</h1><p>b&amp;amp c&am d&quot; e&quot &copy;&middot; &copy & f</p><script>x && y</script>"
+    c.sql(f"copy (select page_id, case when page_id % 2 = 0 then '{cut}' else html end as html from read_parquet('{SF}/pages.parquet')) to '{tmp_path}/pages.parquet' (format parquet)")
+    c.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet')")
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = c.sql(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -139,6 +139,13 @@ def test_markup(page, want):
     assert markup.to_text(page) == want
 
 
+def test_references_without_semicolon():
+    """HTML's rule decodes some of them; where a semicolon is asked for they stay, at both decodings."""
+    page = "<h1>a&amp;&amp</h1>&amp;amp &amp;lt; &am &#65 &#66; & <script>x&&y</script>"
+    assert markup.to_text(page) == "a&&\n& < &am A B & x&&y"
+    assert markup.to_text(page, bare=False) == "a&&amp\n&amp < &am &#65 B & x&&y"
+
+
 def test_json_leaves():
     assert jsontext.leaves('{"z":"1","a":2,"m":["x",{"q":"y"}],"e":""}') == ["1", "x", "y", ""]
     assert jsontext.leaves('{"a":"1","b":"2","a":"3"}') == ["3", "2"]
