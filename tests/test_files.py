@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 
+from loomtext.operators import chat
 from loomtext.plans import cli, convert
 from loomtext.plans.registry import _epub
 from loomtext.sources import epub, files
@@ -155,3 +156,22 @@ def test_names_of_any_length_and_none_outside(spark, tmp_path):
     with pytest.raises(Exception, match="is no file name"):
         write_parts(rows("a", "b", "../x"), str(tmp_path / "o"))
     assert [p.name for p in (tmp_path / "o").iterdir()] == ["n" * 255] and [p.name for p in tmp_path.iterdir()] == ["o"]
+
+
+def test_chat_pages_are_parsed_once(spark, tmp_path, monkeypatch):
+    """Each page is parsed once, whatever the parts need; nothing hidden stays."""
+    parsed, extract = spark.sparkContext.accumulator(0), chat.extract_messages
+
+    def counting(pages, keep):
+        seen = pages.rdd.map(lambda r: (parsed.add(1), r)[1])
+        return extract(spark.createDataFrame(seen, pages.schema), keep)
+
+    monkeypatch.setattr(chat, "extract_messages", counting)
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for k in range(2, 8):
+        (src / f"messages{k}.html").write_text(f'<div class="message"><div class="body"><div class="from_name">A</div><div class="text">x {k}</div></div></div>')
+    assert convert.convert_chat(spark, str(src), str(out), 4) == 3
+    assert parsed.value == 6
+    assert sorted(p.name for p in out.iterdir()) == ["chat_part_1.txt", "chat_part_2.txt", "chat_part_3.txt"]
+    assert tree(out)["chat_part_3.txt"] == f"[?] A: x 6\n{'-' * 20}\n[?] A: x 7\n{'-' * 20}\n"
